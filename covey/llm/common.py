@@ -151,11 +151,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], buf[off[0] : off[-1]]
 
 
-def blocks(off: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes; a row of more is a range of its own."""
+def blocks(off: np.ndarray, most: int = 4 << 20, rows: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows with about ``most`` bytes; a row of more is a range of its own."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1))
         yield i, j
         i = j
 

@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
+from covey.llm import urlfilter
+from covey.llm.minhash import op6_minhash
+from covey.llm.mixing import op8_source_mixing
+from covey.llm.sentencepiece_scan import op9_sentencepiece
 from covey.llm.substring import op2_substring_dedup
+from covey.llm.toxicity import op10_toxicity
+from covey.llm.urlfilter import op5_url_filter
+from covey.llm.warc import op3_warc
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_warc": op3_warc,
+    "op5_url_filter": op5_url_filter,
+    "op6_minhash": op6_minhash,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": urlfilter.ORACLE_SQL}
