@@ -265,6 +265,14 @@ def unpack(values: list) -> list[bytes]:
     return [b"" if v is None else press.decompress(v) for v in values]
 
 
+def open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of any column and packed texts, with the texts unpacked."""
+    for batch in batches:
+        values = batch.column(1).to_pylist()
+        texts = pa.array([None if v is None else t for v, t in zip(values, unpack(values))], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], [batch.schema.names[0], "text"])
+
+
 def text_key(text: str = "text"):
     """Tells rows of one id but different texts apart."""
     return F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")

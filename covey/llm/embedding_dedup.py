@@ -109,7 +109,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, times_left: np.ndarra
 
 
 def _tile_task(dim: int, threshold: float):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         i, j = key[0].as_py(), key[1].as_py()
         side = np.asarray(table["tile"].combine_chunks())
         ids, times, x = np.asarray(table["vec_id"].combine_chunks()), np.asarray(table["times"].combine_chunks()), matrix(table["x"], dim)

@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from covey.llm.common import Grams, Scratch, blocks, mix, packed, text_bytes, unpack, word_hashes
+from covey.llm.common import Grams, Scratch, blocks, mix, open_texts, packed, text_bytes, text_key, unpack, word_hashes
 from covey.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -258,5 +258,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     return out
 
 
+def deduplicate(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the text of its smallest doc_id stays, once.
+
+    Rows with a null doc_id, and texts without words, stay as they are.
+    """
+    scratch = Scratch(docs.sparkSession, "deduplicate")
+    of = near_duplicates(docs.select("doc_id", "text"), **settings)
+    heads = of.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
+    rows = packed(docs.where("doc_id is not null").select("text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row"), text_key().alias("_key"), F.col("doc_id").alias("_doc")), "text", "_row", "_key", "_doc")
+    rows = rows.join(heads, F.col("_doc") == F.col("_id")).dropDuplicates(["_doc", "_key"]).select("_row", "text")
+    opened = rows.mapInArrow(open_texts, StructType([rows.schema["_row"], StructField("text", StringType())]))
+    opened = opened.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return scratch.finish(opened.unionByName(docs.where("doc_id is null")), "deduplicated")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from covey.llm.common import Scratch, packed, text_bytes, text_key, unpack, word_counts
+from covey.llm.common import Scratch, open_texts, packed, text_bytes, text_key, word_counts
 
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2
 BINS, MOST_STEPS, TOLERANCE = 256, 80, 1e-9
@@ -161,13 +161,7 @@ def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     picked = rows.join(plan, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")))
     picked = picked.select("_one.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_n"))
 
-    def open_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(1).to_pylist()
-            texts = pa.array([None if v is None else t for v, t in zip(values, unpack(values))], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["_row", "text"])
-
-    opened = picked.select("_row", "text").mapInArrow(open_text, StructType([picked.schema["_row"], StructField("text", StringType())]))
+    opened = picked.select("_row", "text").mapInArrow(open_texts, StructType([picked.schema["_row"], StructField("text", StringType())]))
     return opened.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
