@@ -228,12 +228,12 @@ set_query("mp_2", "supplier", QuerySpec(Measure.MULTIPOLE, 2, 0, tau=0.25))
 set_query("mp_3", "nation", QuerySpec(Measure.MULTIPOLE, 3, 0, tau=0.3, **_only))
 set_query("mp_4", "nation", QuerySpec(Measure.MULTIPOLE, 4, 0, tau=0.45, **_only), False)
 set_query("spearman_1_2", "nation", QuerySpec(Measure.SPEARMAN, 1, 2, tau=0.25, **_only), pairs=RANKED)
-_pruned = QuerySpec(left=1, right=2, tau=0.25)
+_pruned = QuerySpec(left=1, right=2, tau=0.25, max_only=True)
 set_query("pruned_pc_1_2", "nation", replace(_pruned, strategy=Strategy.PRUNED), _pruned)
 set_query("tiled_pc_1_2", "supplier", QuerySpec(left=1, right=2, tau=0.4, strategy=Strategy.TILED), QuerySpec(left=1, right=2, tau=0.4))
 set_query("vector_pc_1_2", "nation", replace(_pruned, strategy=Strategy.VECTOR), _pruned)
 
-_VECTOR_SQL = "with {ctes}{unit}, l as (select id, list(v order by t) x from u group by id), s as (select a.id i, b.id j, c.id k, list_transform(list_zip(a.x, b.x, c.x), z -> abs(z[1] - (z[2] + z[3]) / 2)) y from l a join l b on a.id <> b.id join l c on b.id < c.id and c.id <> a.id) select i::varchar lhs, j || '-' || k rhs, round(1 / (1 + {agg}(y)), 4) + 0.0 sim from s where 1 / (1 + {agg}(y)) > {tau}"
+_VECTOR_SQL = "with {ctes}{unit}, l as (select id, list(v order by t) x from u group by id), s as (select a.id i, b.id j, c.id k, list_transform(list_zip(a.x, b.x, c.x), lambda z: abs(z[1] - (z[2] + z[3]) / 2)) y from l a join l b on a.id <> b.id join l c on b.id < c.id and c.id <> a.id) select i::varchar lhs, j || '-' || k rhs, round(1 / (1 + {agg}(y)), 4) + 0.0 sim from s where 1 / (1 + {agg}(y)) > {tau}"
 for _name, _measure, _agg, _tau in (("manhattan_1_2", Measure.MANHATTAN, "list_sum", 0.125), ("chebyshev_1_2", Measure.CHEBYSHEV, "list_max", 0.74)):
     _spec = QuerySpec(_measure, 1, 2, tau=_tau, max_only=True)
     add(_name, _VECTOR_SQL.format(ctes=NATIONS, unit=UNIT, agg=_agg, tau=_tau))(lambda spark, d, spec=_spec: shown(run_query(X.nation_months(spark, d), spec)))
@@ -388,19 +388,19 @@ def resampled(spark, d) -> DataFrame:
     return r.withColumn("v", F.when((F.hour("t") == 6) & (F.day("t") % 4 == 0), None).otherwise(F.col("v")))
 
 
-@add("resample_mean", f"with {_RESAMPLED} select id, t, round(v, 4) + 0.0 v from rs")
+@add("resample_mean", f"with {_RESAMPLED} select id, t, round(v, 8) + 0.0 v from rs")
 def resample_mean(spark, d):
-    return resampled(spark, d).select("id", "t", rounded("v").alias("v"))
+    return resampled(spark, d).select("id", "t", rounded("v", 8).alias("v"))
 
 
-@add("drop_null_points", f"with {_RESAMPLED} select id, t, round(v, 4) + 0.0 v from rs where t in (select t from rs group by t having count(v) > 0)")
+@add("drop_null_points", f"with {_RESAMPLED} select id, t, round(v, 8) + 0.0 v from rs where t in (select t from rs group by t having count(v) > 0)")
 def drop_null_points(spark, d):
-    return R.drop_empty_points(resampled(spark, d)).select("id", "t", rounded("v").alias("v"))
+    return R.drop_empty_points(resampled(spark, d)).select("id", "t", rounded("v", 8).alias("v"))
 
 
-@add("last_points", f"with {_RESAMPLED} select id, t, round(v, 4) + 0.0 v from rs where t in (select distinct t from rs order by t desc limit 20)")
+@add("last_points", f"with {_RESAMPLED} select id, t, round(v, 8) + 0.0 v from rs where t in (select distinct t from rs order by t desc limit 20)")
 def last_points(spark, d):
-    return R.last_points(resampled(spark, d), 20).select("id", "t", rounded("v").alias("v"))
+    return R.last_points(resampled(spark, d), 20).select("id", "t", rounded("v", 8).alias("v"))
 
 
 @add("null_run_filter", f"with {_RESAMPLED}, n as (select id, v, row_number() over (partition by id order by t) k from rs), z as (select id, k - row_number() over (partition by id order by k) g from n where v is null), l as (select id, max(c) m from (select id, g, count(*) c from z group by 1, 2) group by id) select distinct rs.id, coalesce(m, 0) longest from rs left join l using (id)")
@@ -411,9 +411,9 @@ def null_run_filter(spark, d):
 _FILLS = "select id, t, n, v, last_value(case when v is not null then n end ignore nulls) over b na, last_value(v ignore nulls) over b va, first_value(case when v is not null then n end ignore nulls) over f nb, first_value(v ignore nulls) over f vb from (select *, row_number() over (partition by id order by t) n from rs) window b as (partition by id order by t rows between unbounded preceding and current row), f as (partition by id order by t rows between current row and unbounded following)"
 
 
-@add("linear_interpolate", f"with {_RESAMPLED}, x as ({_FILLS}) select id, t, round(coalesce(v, va + (vb - va) * (n - na) / (nb - na), va, vb), 4) + 0.0 v from x")
+@add("linear_interpolate", f"with {_RESAMPLED}, x as ({_FILLS}) select id, t, round(coalesce(v, va + (vb - va) * (n - na) / (nb - na), va, vb), 8) + 0.0 v from x")
 def linear_interpolate(spark, d):
-    return R.interpolate(resampled(spark, d)).select("id", "t", rounded("v").alias("v"))
+    return R.interpolate(resampled(spark, d)).select("id", "t", rounded("v", 8).alias("v"))
 
 
 @add("log_return", f"with {_RESAMPLED}, y as (select id, t, abs(v) + 1 v from rs where v is not null), q as (select id, t, round(ln(v) - ln(lag(v) over (partition by id order by t)), 4) + 0.0 v from y) select * from q where v is not null")
@@ -422,9 +422,9 @@ def log_return(spark, d):
     return R.log_returns(points_).select("id", "t", rounded("v").alias("v"))
 
 
-@add("outlier_to_zero", f"with {_RESAMPLED} select id, t, case when abs(v) > 40 then 0 else round(v, 4) + 0.0 end v from rs")
+@add("outlier_to_zero", f"with {_RESAMPLED} select id, t, case when abs(v) > 40 then 0 else round(v, 8) + 0.0 end v from rs")
 def outlier_to_zero(spark, d):
-    return R.outliers_to_zero(resampled(spark, d), 40.0).select("id", "t", rounded("v").alias("v"))
+    return R.outliers_to_zero(resampled(spark, d), 40.0).select("id", "t", rounded("v", 8).alias("v"))
 
 
 @add("locf_grid", f"with {_TICKS}, s as (select distinct id from tk), k as (select id, unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-28', interval 8 hour)) t from s) select k.id, k.t, round(tk.v, 4) + 0.0 v from k asof left join tk on k.id = tk.id and k.t >= tk.ts")
@@ -437,12 +437,12 @@ def make_arrivals(spark, d):
     return R.arrivals(ticks(spark, d), "2024-01-05").select("id", rounded("t", 3).alias("t"), rounded("value").alias("value"))
 
 
-@add("mean_pool", "with x as (select c_custkey % 8 x, c_custkey // 8 % 8 y, c_custkey // 64 % 8 z, 0 t, c_acctbal v from customer), q as (select x // 2 x, y // 2 y, z // 2 z, t, avg(v) v from x group by 1, 2, 3, 4) select x::int x, y::int y, z::int z, t, round(v, 4) + 0.0 v from q where v > 0")
+@add("mean_pool", "with x as (select c_custkey % 8 x, c_custkey // 8 % 8 y, c_custkey // 64 % 8 z, 0 t, c_acctbal v from customer), q as (select x // 2 x, y // 2 y, z // 2 z, t, avg(v) v from x group by 1, 2, 3, 4) select x::int x, y::int y, z::int z, t, round(v, 8) + 0.0 v from q where v > 0")
 def mean_pool(spark, d):
     c = X.table(spark, d, "customer")
     place = lambda n: F.floor(F.col("c_custkey") / n).cast("long") % 8
     voxels = c.select(place(1).alias("x"), place(8).alias("y"), place(64).alias("z"), F.lit(0).alias("t"), F.col("c_acctbal").alias("v"))
-    return R.mean_pool(voxels, 2).select("x", "y", "z", "t", rounded("v").alias("v"))
+    return R.mean_pool(voxels, 2).select("x", "y", "z", "t", rounded("v", 8).alias("v"))
 
 
 @add("hash_sample")
