@@ -161,7 +161,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null
-    and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x))) and list_sum(list_transform(embedding, x -> abs(x::double))) > 0),
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_sum(list_transform(embedding, lambda x: abs(x::double))) > 0),
 l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
 c(a, b) as (select vec_id, vec_id from embeddings union select c.a, l.b from c join l on c.b = l.a),
 m as (select a, min(b) component_id from c group by a),
