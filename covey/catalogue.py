@@ -206,7 +206,7 @@ _T, _TOP = QueryType.THRESHOLD, QueryType.TOPK
 _only = {"max_only": True}
 set_query("pc_1_1", "supplier", QuerySpec(left=1, right=1, tau=0.3))
 set_query("pc_1_2", "supplier", QuerySpec(left=1, right=2, tau=0.4, **_only))
-set_query("pc_2_1", "supplier", QuerySpec(left=2, right=1, tau=0.4, **_only))
+set_query("pc_2_1", "nation", QuerySpec(left=2, right=1, tau=0.25, **_only))
 set_query("pc_2_2", "nation", QuerySpec(left=2, right=2, tau=0.3, **_only))
 set_query("pc_1_3", "nation", QuerySpec(left=1, right=3, tau=0.3, **_only))
 set_query("pc_1_2_sum_weights", "supplier", QuerySpec(left=1, right=2, tau=0.4, weights=Weights("sum"), **_only))
