@@ -14,7 +14,8 @@ def log2(x: Column) -> Column:
 
 
 def bound(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    """Clamped; null stays null, which least and greatest alone would skip."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
 def add(a: Column, b: Column) -> Column:

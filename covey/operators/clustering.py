@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covey.functions.vectors import bound
+from covey.operators.lineage import cut
 from covey.spec import DENOMINATOR_FLOOR
 
 MOST_CHILDREN, RETRIES, SHRINK, LEVELS, SAMPLE = 10, 50, 0.8, 20, 2048
@@ -55,7 +56,7 @@ def _split(epsilon_first: float, seed: int):
         lead = some[best_leaders(x[some], epsilon, seed=seed)]
         d = angles(x, x[lead])
         of = d.argmin(axis=1)
-        if len(lead) == 1 and len(x) > 1:  # one leader for all: every member on its own
+        if len(np.unique(of)) == 1 and len(x) > 1:  # nothing was split (equal series): every member on its own
             of, d = np.arange(len(x)), np.zeros((len(x), len(x)))
             lead = np.arange(len(x))
         medoid = part["id"].to_numpy()[lead][of]
@@ -78,7 +79,8 @@ def hierarchy(vectors: DataFrame, epsilon: float = float(np.arccos(FIRST_SHARE))
     schema = f"id {kind}, parent string, cluster string, level int, radius double, medoid {kind}, size int"
     for _ in range(levels):
         todo = at.where("size > 1")
-        down = todo.groupBy("cluster").applyInPandas(_split(epsilon, seed), schema).persist()
+        down = todo.groupBy("cluster").applyInPandas(_split(epsilon, seed), schema)
+        down = cut(down, "level")
         if not down.limit(1).count():
             break
         out.append(down)

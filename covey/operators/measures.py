@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from covey.functions.vectors import bound
 from covey.spec import DENOMINATOR_FLOOR, Measure, QuerySpec
@@ -59,7 +60,7 @@ def euclidean(left, wl, right, wr, pair: Pair, length_squared: Column | float =
     return 1 / (1 + F.sqrt(F.greatest(square * length_squared, F.lit(0.0))))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _least_eigenvalue_gap(flat: pd.Series) -> pd.Series:
     """1 - smallest eigenvalue of correlation matrices, from their upper triangles in row order."""
     if not len(flat):

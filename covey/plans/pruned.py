@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from covey.operators import clustering as C
 from covey.operators import measures as M
 from covey.operators.candidates import ordering, pack
+from covey.operators.lineage import cut
 from covey.operators.pairs import symmetric
 from covey.spec import Measure, QuerySpec
 
@@ -51,7 +52,7 @@ def pattern(pairs: DataFrame, steps: DataFrame, deepest: int, spec: QuerySpec, l
     alive: DataFrame | None = None
     for level in range(deepest + 1):
         here = steps.where(F.col("level") == level).select("id", "cluster")
-        ext = C.extrema(both, here, here).select("c1", "c2", "lo", "hi")
+        ext = cut(C.extrema(both, here, here).select("c1", "c2", "lo", "hi"), "extrema")
         if alive is None:
             one = here.select("cluster").distinct()
             alive = one.select(*[F.col("cluster").alias(s) for s in names])  # the root alone
@@ -65,7 +66,7 @@ def pattern(pairs: DataFrame, steps: DataFrame, deepest: int, spec: QuerySpec, l
         of = lambda tag: lambda x, y: F.col(f"{tag}_{x}_{y}" if names.index(x) < names.index(y) else f"{tag}_{y}_{x}")
         _, upper = set_bounds(spec, left, right, of("lo"), of("hi"))
         # a margin for rounding: sets at the threshold itself are judged exactly at the end
-        alive = alive.where(upper >= least - 1e-9).select(*names).persist()
+        alive = cut(alive.where(upper >= least - 1e-9).select(*names), "alive")
         if not alive.limit(1).count():
             break
     alone = steps.where(F.col("level") == deepest).select("id", "cluster")
@@ -83,9 +84,9 @@ def run(vectors: DataFrame, pairs: DataFrame, spec: QuerySpec) -> DataFrame:
 
     if not spec.measure.from_pairs:
         raise ValueError("pruning needs a measure of pair correlations")
-    pairs = pairs.persist()
+    pairs = cut(pairs, "pairs")
     steps, deepest = _levels(C.hierarchy(vectors))
-    steps = steps.persist()
+    steps = cut(steps, "steps")
     out = None
     for left, right in spec.patterns():
         names = M.slots(left, right)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from covey.operators import measures as M
 from covey.operators.candidates import candidates, pack
+from covey.operators.lineage import cut
 from covey.plans.query import constrained, finished, run_on_pairs, union_all
 from covey.spec import QuerySpec, QueryType
 from covey.streaming import windows as W
@@ -145,7 +146,7 @@ class Replay:
             results = kept.unionByName(touched)
         else:
             results = run_on_pairs(pairs, self.spec, self.length_squared)
-        results = results.checkpoint() if results.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else results.persist()
+        results = cut(results, "epoch")
         number_of = results.count()
         self.results, self.last = results, bw
         if changes is not None and self.strategy == "hybrid":
