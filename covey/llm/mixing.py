@@ -85,10 +85,11 @@ def dual_rates(scratch: Scratch, cells: DataFrame, targets: DataFrame, cap: int
     state = scratch.table(state, "dual")
     x = F.col("size") / F.col("mean")
     tilt = F.exp(F.least(F.col("l") * x, F.lit(50.0)))
+    exact = lambda v: F.sum(v.cast("decimal(38,12)")).cast("double")  # noqa: E731  the same in any order of rows, so reruns agree
     for _ in range(MOST_STEPS):
         sums = _same(cells, state.where("fixed is null").select("source", "l", "mean")).groupBy("source").agg(
-            F.sum(F.col("docs") * F.col("size") * F.least(tilt, F.lit(float(cap)))).alias("f"),
-            F.sum(F.when(tilt < cap, F.col("docs") * F.col("size") * x * tilt).otherwise(0.0)).alias("g"),
+            exact(F.col("docs") * F.col("size") * F.least(tilt, F.lit(float(cap)))).alias("f"),
+            exact(F.when(tilt < cap, F.col("docs") * F.col("size") * x * tilt).otherwise(0.0)).alias("g"),
         )
         miss = F.col("f") - F.col("target")
         done = F.abs(miss) <= F.col("target") * TOLERANCE
