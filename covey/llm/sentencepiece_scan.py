@@ -13,7 +13,8 @@ Scale: only giant documents are shuffled.  A task holds one batch of texts; step
 entries, one for each chunk of a document.  The tokenizer's file is a parameter; each worker opens it once.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; repeated rows each get their row; an empty
-table gives an empty result.  Text has no surrogates, so every character has its UTF-8 bytes as fallback.
+table gives an empty result.  Text has no surrogates, so every character has its UTF-8 bytes as fallback.  The space
+mark U+2581 in a text is a space to the library, and decodes as one: round_trip is false there.
 """
 
 from __future__ import annotations

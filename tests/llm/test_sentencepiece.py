@@ -13,7 +13,7 @@ def test_cached_words_equal_the_library(prose):
     p = Pieces.of(m.MODEL_FILE)
     for t in [*ODD, prose(300), "Don't  stop; it's 3.14% of http://a.b/c?d=e"]:
         ids = np.frombuffer(p.encode(t), np.int32)
-        assert ids.tolist() == LIB.encode(t) and p.decode(ids) == t
+        assert ids.tolist() == LIB.encode(t) and p.decode(ids) == t.replace(MARK, " ")
 
 
 def test_merging_equals_the_library():
