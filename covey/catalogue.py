@@ -366,10 +366,10 @@ def count_batches(spark, d):
     return batches.groupBy("epoch", "id").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 2).alias("v"))
 
 
-@add("runtime_regression", f"with {_FILLED}, r as (select t, sum(v) y, count(*) filter (v > 0) x from g group by t), w as (select t, count(*) over o n, sum(x) over o sx, sum(y) over o sy, sum(x * x) over o sxx, sum(x * y) over o sxy from r window o as (order by t)), k as (select *, case when abs(n * sxx - sx * sx) > 1e-9 then (n * sxy - sx * sy) / (n * sxx - sx * sx) else 0 end b from w) select t, round(b, 3) + 0.0 slope, round((sy - b * sx) / n, 3) + 0.0 icept, round(sy / n, 3) + 0.0 mean from k")
+@add("runtime_regression", f"with {_FILLED}, r as (select t, sum(v) y, count(*) filter (v > 0) x from g group by t), w as (select t, count(*) over o n, sum(x) over o sx, sum(y) over o sy, sum(x * x) over o sxx, sum(x * y) over o sxy from r window o as (order by t)), k as (select *, case when abs(n * sxx - sx * sx) > 1e-9 then (n * sxy - sx * sy) / (n * sxx - sx * sx) else 0 end b from w) select t, round(b, 3) + 0.0 slope, round((sy - b * sx) / n, 3) + 0.0 icept from k")
 def runtime_regression(spark, d):
     runs = type_windows(spark, d).groupBy(F.col("bw").alias("t")).agg(F.sum("v").alias("y"), F.count_if(F.col("v") > 0).cast("double").alias("x"))
-    return windows.runtime_regression(runs).select("t", rounded("slope", 3).alias("slope"), rounded("intercept", 3).alias("icept"), rounded("mean", 3).alias("mean"))
+    return windows.runtime_regression(runs).select("t", rounded("slope", 3).alias("slope"), rounded("intercept", 3).alias("icept"))
 
 
 # --- preparation ----------------------------------------------------------------------------------------------------------

@@ -153,7 +153,10 @@ def weather_file(spark: SparkSession, path: str, attribute: str = "slp", most_se
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A parquet table; times without a zone are read as times of the session's zone."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    bare = {c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}
+    return df.withColumns(bare) if bare else df
 
 
 def supplier_months(spark: SparkSession, folder: str) -> DataFrame:
