@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,22 @@ from covey.llm.common import Scratch
 MOST_ROUNDS = 60
 
 
+class Forest:
+    """Union-find over numbered nodes that takes links in bulk."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            ra, rb = self.root[a], self.root[b]
+            apart = ra != rb
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the smallest node reachable.
 

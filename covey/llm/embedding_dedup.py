@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from covey.llm.common import Scratch
-from covey.llm.components import connected_components
+from covey.llm.components import Forest, connected_components
 from covey.llm.vectors import directed, lengths, matrix
 
 THRESHOLD = 0.9
@@ -57,22 +57,6 @@ def possible(a: Quantised, b: Quantised, threshold: float) -> np.ndarray:
     return total * a.scale[:, None] * b.scale[None, :] >= threshold - bound
 
 
-class Forest:
-    """Union-find over numbered nodes that takes links in bulk."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            ra, rb = self.root[a], self.root[b]
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not np.array_equal(up := self.root[self.root], self.root):
-                self.root = up
-
-
 def tile_links(left: np.ndarray, right: np.ndarray | None, times_left: np.ndarray, times_right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Counts of linked vectors (by multiplicity) of left then right, and the root of each; right None: left with itself."""
     a = Quantised(left)

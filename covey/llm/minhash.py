@@ -6,7 +6,8 @@ text is one shingle.  A shingle's weight is its count in the text times its inve
 Document frequencies.  Every document of the corpus is counted, in a table of CELLS hashed cells.  The excess that
 other shingles bring to a cell is in proportion to the corpus like the frequencies themselves, so one size of table
 resolves shares of documents alike at every size of corpus; below COMMON of the documents a shingle counts as rare.
-So idf = 1 + ln(1 / max(share, COMMON)): boilerplate that much of the corpus has weighs least.
+So idf = 1 + ln(max(share, COMMON)) / ln(COMMON), from 1 for what every document has to 2 for what is rare: boilerplate that much of
+the corpus has weighs half, and a group of near copies that is a third of the corpus still counts as near.
 
 Signatures.  A sample of a weighted set is its element of the smallest a = c * exp(-r * (t - beta + 1)) with
 t = floor(ln(w) / r + beta), r and c from Gamma(2, 1) and beta uniform, all from the element and the sample's number;
@@ -14,10 +15,11 @@ t = floor(ln(w) / r + beta), r and c from Gamma(2, 1) and beta uniform, all from
 eighths of an octave and elements by a code, so that a sample of rare elements costs a table lookup each.  BANDS bands of ROWS samples each make candidates.
 
 Verification is exact weighted Jaccard similarity over whole texts, >= THRESHOLD.  Copies of one word sequence are one
-class from the start.  In a bucket of a band each class is verified against the bucket's smallest; a bucket's other
-pairs matter only where one of the two failed against the smallest, and those are verified as well unless the triangle
-inequality of the Jaccard distance rules them out or both already belong to one component.  So no link between different
-texts of a bucket is lost, and a bucket of thousands of near copies costs one verification each.
+class from the start.  In a bucket of a band each class is verified against the bucket's smallest.  Members that this
+leaves in another component than the smallest are then compared with every member, by tiles: the intersections of two
+blocks of weighted sets are one matrix product over the shingles that occur twice in them, and a tile returns the edges
+of a spanning forest of its links, never its pairs.  So no component loses a link between texts of a bucket, a bucket
+of thousands of near copies costs one verification each and a product for those that failed, and no pairs are listed.
 
 Scale: texts are scanned once for frequencies and once for signatures; frequencies are summed in blocks of cells over
 two levels and reach the driver as one table of fixed size.  Texts move only for classes with candidates, packed.
@@ -38,8 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from covey.llm.common import Grams, Scratch, blocks, mix, open_texts, packed, text_bytes, text_key, unpack, word_hashes
-from covey.llm.components import connected_components
+from covey.llm.common import Grams, Scratch, blocks, bounded_partitions, mix, open_texts, packed, text_bytes, text_key, unpack, word_hashes
+from covey.llm.components import Forest, connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
@@ -47,6 +49,7 @@ CELLS, CELL_BLOCK = 1 << 17, 1 << 12
 COMMON = 0.05
 STEPS_AN_OCTAVE = 8
 CODES = 1 << 14
+TILE_ROWS = 128
 
 
 _ROW_BITS = np.uint64(16)
@@ -102,7 +105,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         return np.ones(CELLS)
     number = CELLS // CELL_BLOCK
     share = np.concatenate([found[b] for b in range(number)]) / max(1, int(found[number][0]))
-    return 1 + np.log(1 / np.clip(share, COMMON, 1))
+    return 1 + np.log(np.clip(share, COMMON, 1)) / np.log(COMMON)
 
 
 class Sampler:
@@ -120,7 +123,7 @@ class Sampler:
         self.odd = rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.join = rng.integers(0, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.bands, self.rows = bands, rows
-        self.rare = self.level(np.array([1 + np.log(1 / COMMON)]))[0]
+        self.rare = self.level(np.array([2.0]))[0]
         every = np.arange(CODES)
         self.table = np.stack([self.key(s, every, np.full(CODES, self.rare)) for s in range(k)])
 
@@ -222,6 +225,102 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return both.mapInArrow(check, StructType([both.schema["a"], both.schema["b"], StructField("sim", DoubleType())]))
 
 
+def tile_forest(left: list[tuple], right: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Edges between places of left, then right, that connect what the links between left and right connect.
+
+    left, right: (shingles, weights, counts).  A shingle that occurs n times counts as n elements, so that the sum of
+    the smaller weights is a product of zeros and ones.
+    """
+    sets = [*left, *right]
+    size = [len(s[0]) for s in sets]
+    row = np.repeat(np.arange(len(sets)), size)
+    shingle, weight, count = (np.concatenate([s[k] for s in sets]) for k in range(3))
+    times = np.repeat(np.arange(len(shingle)), count)
+    nth = np.arange(len(times)) - np.repeat(np.cumsum(count) - count, count)
+    element = mix(shingle[times]) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    row, single = row[times], (weight / count)[times]
+    _, column, seen = np.unique(element, return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    row, column, single = row[shared], column[shared], single[shared]
+    order = np.argsort(column, kind="stable")
+    row, column, single = row[order], column[order], single[order]
+    new = np.cumsum(np.r_[False, column[1:] != column[:-1]])
+    common = np.zeros((len(left), len(right)))
+    for lo in range(0, int(new[-1]) + 1 if len(new) else 0, 4096):
+        a, b = np.searchsorted(new, (lo, lo + 4096))
+        one = np.zeros((len(sets), 4096))
+        one[row[a:b], new[a:b] - lo] = 1.0
+        of = np.zeros(4096)
+        of[new[a:b] - lo] = single[a:b]
+        common += (one[: len(left)] * of) @ one[len(left) :].T
+    total = np.array([s[1].sum() for s in sets])
+    link = common >= threshold * (total[: len(left), None] + total[None, len(left) :] - common) - 1e-9
+    link &= (total[: len(left)] > 0)[:, None] & (total[len(left) :] > 0)[None, :]
+    forest = Forest(len(sets))
+    i, j = np.nonzero(link)
+    forest.add(i, j + len(left))
+    return [(k, int(r)) for k, r in enumerate(forest.root) if r != k]
+
+
+def _counted_sets(texts: list[bytes], idf: np.ndarray) -> list[tuple]:
+    return [(s, w, np.rint(w / idf[cell_of(s)]).astype(np.int64)) for s, w in weighted_sets(texts, idf)]
+
+
+def _tile_rows(idf, threshold: float):
+    """Edges (a, b) of each tile; rows come sorted by (bucket, block_f, block_a), a tile's rows together."""
+    def edges(tile: list[tuple]) -> list[tuple]:
+        # texts stay packed until their part of the tile is due; parts are small where texts are long
+        f, a = [t for t in tile if t[1]], [t for t in tile if not t[1]]
+        step = 128 if sum(len(t[2]) for t in tile) < 2 << 20 else 16
+        found = []
+        for x in range(0, len(f), step):
+            left = _counted_sets(unpack([t[2] for t in f[x : x + step]]), idf.value)
+            for y in range(0, len(a), step):
+                right = _counted_sets(unpack([t[2] for t in a[y : y + step]]), idf.value)
+                names = [t[0] for t in (*f[x : x + step], *a[y : y + step])]
+                found += [(names[p], names[q]) for p, q in tile_forest(left, right, threshold) if names[p] != names[q]]
+        return list(dict.fromkeys(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tile, found = None, [], []
+        for batch in batches:
+            for bucket, f, a, head, left, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, f, a) != now:
+                    found += edges(tile)
+                    now, tile = (bucket, f, a), []
+                tile.append((head, left, text))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], batch.column(3).type), pa.array([y for _, y in found], batch.column(3).type)], ["a", "b"])
+            found = []
+        if tile:
+            found = edges(tile)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _rest_of_buckets(members: DataFrame, links: DataFrame, texts: DataFrame, idf, threshold: float, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between members of a bucket of which one isn't in the component of the bucket's center; None: none left."""
+    labels = connected_components(links.select("a", "b"), scratch)
+    own = members.join(labels.select(F.col("node").alias("head"), F.col("component").alias("of_head")), "head", "left")
+    own = own.join(labels.select(F.col("node").alias("center"), F.col("component").alias("of_center")), "center", "left")
+    apart = F.coalesce("of_head", "head") != F.coalesce("of_center", "center")
+    own = scratch.table(own.select("bucket", "head", apart.alias("apart")), "own")
+    todo = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("apart").alias("f")).where("n > 2 and f > 0")
+    todo = scratch.table(todo.select("bucket", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("blocks")), "todo")
+    if not todo.limit(1).count():
+        return None
+    rows = own.join(todo, "bucket").withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.where("apart").select("bucket", F.col("block").alias("f"), every.alias("a"), "head", F.lit(True).alias("left"))
+    right = rows.select("bucket", every.alias("f"), F.col("block").alias("a"), "head", F.lit(False).alias("left"))
+    tiles = scratch.table(left.unionByName(right), "tiles")
+    tiles = tiles.join(texts.select(F.col("doc_id").alias("head"), "text"), "head").select("bucket", "f", "a", "head", "left", "text")
+    n = bounded_partitions(tiles.sparkSession)
+    tiles = tiles.repartition(n, "bucket", "f", "a").sortWithinPartitions("bucket", "f", "a")
+    kind = tiles.schema["head"].dataType
+    return scratch.table(tiles.mapInArrow(_tile_rows(idf, threshold), StructType([StructField("a", kind), StructField("b", kind)])), "rest")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, kept) for each row of ``docs`` (doc_id, text); class_id is the smallest doc_id of the class."""
     spark = docs.sparkSession
@@ -231,23 +330,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     classes = scratch.table(signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("one")).select("h1", "h2", F.col("one.doc_id").alias("head"), "one.bands"), "classes")
     placed = classes.select("head", F.explode("bands").alias("bucket"))
     buckets = scratch.table(placed.groupBy("bucket").agg(F.min("head").alias("center"), F.max("head").alias("last")).where("center <> last").select("bucket", "center"), "buckets")
-    members = scratch.table(placed.join(buckets, "bucket").where("head <> center"), "members")
-    stars = scratch.table(members.select(F.col("center").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+    members = scratch.table(placed.join(buckets, "bucket"), "members")
+    stars = scratch.table(members.where("head <> center").select(F.col("center").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    # the same way at every size: whole texts are dealt by doc_id to meet those that are wanted
     texts = packed(docs.where("doc_id is not null"), "text", "doc_id").join(wanted, "doc_id")
     texts = scratch.table(texts.select("doc_id", "text").distinct(), "texts")
-    sims = scratch.table(verified(stars, texts, idf), "sims")
-    links = sims.where(F.col("sim") >= threshold)
-    if sims.where(F.col("sim") < threshold).limit(1).count():
-        known = members.join(sims.select(F.col("a").alias("center"), F.col("b").alias("head"), "sim"), ["center", "head"]).select("bucket", "head", "sim")
-        known = scratch.table(known, "known")
-        failed = known.where(F.col("sim") < threshold)
-        other = known.select("bucket", F.col("head").alias("y"), F.col("sim").alias("sim_y"))
-        # 1 - sim is a metric: further apart from the center by more than the threshold's distance, no link
-        rest = failed.join(other, "bucket").where((F.col("head") != F.col("y")) & (F.abs(F.col("sim") - F.col("sim_y")) <= 1 - threshold + 1e-9))
-        rest = rest.select(F.least("head", "y").alias("a"), F.greatest("head", "y").alias("b")).distinct().join(sims.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.unionByName(scratch.table(verified(scratch.table(rest, "rest"), texts, idf).where(F.col("sim") >= threshold), "more"))
-    labels = connected_components(links.select("a", "b"), scratch)
+    links = scratch.table(verified(stars, texts, idf).where(F.col("sim") >= threshold).select("a", "b"), "links")
+    rest = _rest_of_buckets(members, links, texts, idf, threshold, scratch)
+    links = links if rest is None else links.unionByName(rest)
+    labels = connected_components(links, scratch)
     heads = classes.select("h1", "h2", "head").join(labels.withColumnRenamed("node", "head"), "head", "left").select("h1", "h2", F.coalesce("component", "head").alias("class_id"))
     heads = scratch.table(heads, "heads")
     of = scratch.table(signed.select("doc_id", "h1", "h2").join(heads, ["h1", "h2"]).select("doc_id", "class_id"), "of")
