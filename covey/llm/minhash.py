@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     stars = scratch.table(members.where("head <> center").select(F.col("center").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
     # the same way at every size: whole texts are dealt by doc_id to meet those that are wanted
-    texts = packed(docs.where("doc_id is not null"), "text", "doc_id").join(wanted, "doc_id")
+    texts = packed(docs.where("doc_id is not null"), "text", "doc_id").join(wanted.hint("merge"), "doc_id")
     texts = scratch.table(texts.select("doc_id", "text").distinct(), "texts")
     links = scratch.table(verified(stars, texts, idf).where(F.col("sim") >= threshold).select("a", "b"), "links")
     rest = _rest_of_buckets(members, links, texts, idf, threshold, scratch)
