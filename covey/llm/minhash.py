@@ -49,7 +49,7 @@ CELLS, CELL_BLOCK = 1 << 17, 1 << 12
 COMMON = 0.05
 STEPS_AN_OCTAVE = 8
 CODES = 1 << 14
-TILE_ROWS = 128
+TILE_ROWS = 512
 
 
 _ROW_BITS = np.uint64(16)
