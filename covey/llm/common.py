@@ -22,10 +22,12 @@ _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where the session names none (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.  Only a local session may name none (a temporary one)."""
     where = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.TemporaryDirectory(prefix="covey-shared-"))
     return "file://" + _LOCAL[0].name
@@ -274,5 +276,6 @@ def open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_key(text: str = "text"):
-    """Tells rows of one id but different texts apart."""
-    return F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    """Tells rows of one id but different texts apart: 64 bits of two unlike hashes (a null text is 0)."""
+    wide = F.xxhash64(F.col(text)).bitwiseXOR(F.shiftleft(F.crc32(F.col(text).cast("binary")), 31))
+    return F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(wide)

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from covey.llm.common import Scratch
 
-MOST_ROUNDS = 60
-
 
 class Forest:
     """Union-find over numbered nodes that takes links in bulk."""
@@ -38,7 +36,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = links.select("a", "b").where("a <> b")
     both = scratch.table(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     state = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    for _ in range(MOST_ROUNDS):
+    while True:  # labels only fall, so this ends
         near = both.join(state.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         pulled = state.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("now"))
         pulled = scratch.table(pulled, "pulled")
@@ -51,4 +49,3 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(old, pulled)
         if not changed:
             return state
-    raise RuntimeError("components did not settle")

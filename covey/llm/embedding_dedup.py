@@ -6,7 +6,8 @@ for rounding can't be a link.  Only the pairs that are left are computed again,
 as they are.  A tile of products of int8 values is exact in single precision (|q.q'| < 2**24 up to 1040 dimensions;
 larger ones are summed in slices), so the product runs as a matrix multiplication.
 
-Equal vectors are one row from the start, with a multiplicity.  A pair of tiles returns, for each vector, how many it
+Rows of one vec_id and equal vectors are one row from the start, with a multiplicity and a key of its own: rows of one
+vec_id with different vectors stay apart.  A pair of tiles returns, for each vector, how many it
 links with, and the edges of a spanning forest of the links between the tiles: as many rows as the tiles have at most,
 however many links a group of near copies has.  The forests connect the same vectors as all links.
 
@@ -92,17 +93,17 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, times_left: np.ndarra
     return count, forest.root
 
 
-def _tile_task(dim: int, threshold: float):
+def _tile_task(threshold: float):
     def run(key, table):
-        i, j = key[0].as_py(), key[1].as_py()
+        dim, i, j = (k.as_py() for k in key)
         side = np.asarray(table["tile"].combine_chunks())
-        ids, times, x = np.asarray(table["vec_id"].combine_chunks()), np.asarray(table["times"].combine_chunks()), matrix(table["x"], dim)
+        ids, times, x = np.asarray(table["key"].combine_chunks()), np.asarray(table["times"].combine_chunks()), matrix(table["x"], dim)
         order = np.r_[np.flatnonzero(side == i), np.flatnonzero(side == j) if i != j else np.zeros(0, np.int64)]
         n = int((side == i).sum())
         ids, times, x = ids[order], times[order], x[order]
         count, root = tile_links(x[:n], None if i == j else x[n:], times[:n], times[n:], threshold)
         at = np.flatnonzero((count > 0) | (root != np.arange(len(root))))
-        return pa.table({"vec_id": pa.array(ids[at]), "links": pa.array(count[at]), "other": pa.array(ids[root[at]])})
+        return pa.table({"key": pa.array(ids[at]), "links": pa.array(count[at]), "other": pa.array(ids[root[at]])})
 
     return run
 
@@ -112,23 +113,25 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding-dedup")
     found = scratch.table(directed(vectors), "directed")
-    one = scratch.table(found.groupBy("dim", "x").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("times")), "different")
-    schema = StructType([StructField("vec_id", LongType()), StructField("links", LongType()), StructField("other", LongType())])
-    parts = []
-    for dim, n in [(r["dim"], r["count"]) for r in one.groupBy("dim").count().collect()]:
-        m = max(tiles, math.ceil(n / tile))
-        placed = one.where(F.col("dim") == dim).withColumn("tile", F.pmod(F.xxhash64("vec_id", "x"), F.lit(m)).cast("int"))
-        sent = placed.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-        sent = sent.select("vec_id", "times", "x", "tile", F.least("tile", "to").alias("i"), F.greatest("tile", "to").alias("j"))
-        parts.append(sent.repartition(max(m * (m + 1) // 2, 1), "i", "j").groupBy("i", "j").applyInArrow(_tile_task(dim, threshold), schema))
-    links = parts[0] if parts else spark.createDataFrame([], schema)
-    for p in parts[1:]:
-        links = links.unionByName(p)
-    links = scratch.table(links, "tile-links")
-    counts = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    labels = connected_components(links.select(F.col("vec_id").alias("a"), F.col("other").alias("b")), scratch)
-    heads = one.select("dim", "x", F.col("vec_id").alias("head"), "times").join(counts.withColumnRenamed("vec_id", "head"), "head", "left").join(labels.withColumnRenamed("node", "head"), "head", "left")
-    heads = scratch.table(heads.select("dim", "x", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id")), "heads")
+    one = found.groupBy("dim", "x").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("times"))
+    one = scratch.table(one.withColumn("key", F.monotonically_increasing_id()), "different")  # written once: keys stay
+    schema = StructType([StructField("key", LongType()), StructField("links", LongType()), StructField("other", LongType())])
+    # vectors of all dimensions go through one plan: a tile holds vectors of one dimension
+    sizes = one.groupBy("dim").agg(F.greatest(F.lit(tiles), F.ceil(F.count(F.lit(1)) / tile)).cast("int").alias("m"))
+    placed = one.join(scratch.table(sizes, "sizes"), "dim").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("m")).cast("int"))
+    sent = placed.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    sent = sent.select("dim", "key", "times", "x", "tile", F.least("tile", "to").alias("i"), F.greatest("tile", "to").alias("j"))
+    most = one.agg(F.count(F.lit(1))).first()[0]
+    m = max(tiles, math.ceil(most / tile))
+    tiled = sent.repartition(max(m * (m + 1) // 2, 1), "dim", "i", "j").groupBy("dim", "i", "j")
+    links = scratch.table(tiled.applyInArrow(_tile_task(threshold), schema), "tile-links")
+    counts = links.groupBy("key").agg(F.sum("links").alias("links"))
+    labels = connected_components(links.select(F.col("key").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("node", "key")
+    # a component's name is its smallest vec_id
+    named = labels.join(one.select("key", "vec_id"), "key").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    named = labels.join(scratch.table(named, "names"), "component").select("key", "component_id")
+    heads = one.select("dim", "x", "key", "vec_id", "times").join(counts, "key", "left").join(named, "key", "left")
+    heads = scratch.table(heads.select("dim", "x", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")), "heads")
     linked = scratch.table(found.join(heads, ["dim", "x"]).select("vec_id", "n_links", "component_id"), "linked")
     # rows without a direction are those that `directed` left out: judged again by its rule in one expression
     e = F.col("embedding")

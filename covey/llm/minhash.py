@@ -3,11 +3,12 @@
 Shingles are runs of SHINGLE words (runs of bytes other than 0x20 and 0x09-0x0D, ASCII letters folded); a shorter
 text is one shingle.  A shingle's weight is its count in the text times its inverse document frequency.
 
-Document frequencies.  Every document of the corpus is counted, in a table of CELLS hashed cells.  The excess that
-other shingles bring to a cell is in proportion to the corpus like the frequencies themselves, so one size of table
-resolves shares of documents alike at every size of corpus; below COMMON of the documents a shingle counts as rare.
-So idf = 1 + ln(max(share, COMMON)) / ln(COMMON), from 1 for what every document has to 2 for what is rare: boilerplate that much of
-the corpus has weighs half, and a group of near copies that is a third of the corpus still counts as near.
+Document frequencies.  Every document of the corpus is counted, in a table of CELLS hashed cells.  What other shingles
+bring to a cell is in proportion to the corpus like the frequencies themselves, and its typical amount (the median
+cell) is taken off; so one size of table tells shares of documents from LEAST on apart, alike at every size of corpus.
+idf is the logarithm of the inverse share, on a scale from 1 (every document has the shingle) to 2 (LEAST of them or
+fewer): 1 + ln(share) / ln(LEAST).  The scale has an offset since without one the edits of a near copy outweigh all that
+a large group of copies shares, and texts that are 0.9 similar by plain shingles would count as unlike.
 
 Signatures.  A sample of a weighted set is its element of the smallest a = c * exp(-r * (t - beta + 1)) with
 t = floor(ln(w) / r + beta), r and c from Gamma(2, 1) and beta uniform, all from the element and the sample's number;
@@ -19,7 +20,8 @@ class from the start.  In a bucket of a band each class is verified against the
 leaves in another component than the smallest are then compared with every member, by tiles: the intersections of two
 blocks of weighted sets are one matrix product over the shingles that occur twice in them, and a tile returns the edges
 of a spanning forest of its links, never its pairs.  So no component loses a link between texts of a bucket, a bucket
-of thousands of near copies costs one verification each and a product for those that failed, and no pairs are listed.
+of thousands of near copies costs one verification each and a product for those that failed, and no pairs are listed:
+n members of which f are apart are sent n * ceil(f / TILE_ROWS) + f * ceil(n / TILE_ROWS) times.
 
 Scale: texts are scanned once for frequencies and once for signatures; frequencies are summed in blocks of cells over
 two levels and reach the driver as one table of fixed size.  Texts move only for classes with candidates, packed.
@@ -46,7 +48,7 @@ from covey.llm.components import Forest, connected_components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 CELLS, CELL_BLOCK = 1 << 17, 1 << 12
-COMMON = 0.05
+LEAST = 0.01
 STEPS_AN_OCTAVE = 8
 CODES = 1 << 14
 TILE_ROWS = 512
@@ -105,7 +107,12 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         return np.ones(CELLS)
     number = CELLS // CELL_BLOCK
     share = np.concatenate([found[b] for b in range(number)]) / max(1, int(found[number][0]))
-    return 1 + np.log(np.clip(share, COMMON, 1)) / np.log(COMMON)
+    typical = float(np.median(share))
+    return inverse_frequency((share - typical) / max(1 - typical, 1e-9))
+
+
+def inverse_frequency(share: np.ndarray) -> np.ndarray:
+    return 1 + np.log(np.clip(share, LEAST, 1)) / np.log(LEAST)
 
 
 class Sampler:
@@ -215,7 +222,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
                 if x not in last and x not in new:
                     new[x] = batch.column(2)[k].as_py()
             sets = dict(zip(new, weighted_sets(unpack(list(new.values())), idf.value)))
-            last = {x: last[x] for x in last if x in set(a)} | sets
+            here = set(a)
+            last = {x: v for x, v in last.items() if x in here} | sets
             mine = weighted_sets(unpack(batch.column(3).to_pylist()), idf.value)
             sims = [weighted_jaccard(last[x], m) for x, m in zip(a, mine)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
@@ -282,18 +290,19 @@ def _tile_rows(idf, threshold: float):
         return list(dict.fromkeys(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tile, found = None, [], []
+        now, tile, found, kind = None, [], [], pa.int64()
         for batch in batches:
+            kind = batch.column(3).type
             for bucket, f, a, head, left, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (bucket, f, a) != now:
                     found += edges(tile)
                     now, tile = (bucket, f, a), []
                 tile.append((head, left, text))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], batch.column(3).type), pa.array([y for _, y in found], batch.column(3).type)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)], ["a", "b"])
             found = []
         if tile:
             found = edges(tile)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)], ["a", "b"])
 
     return run
 
@@ -306,13 +315,16 @@ def _rest_of_buckets(members: DataFrame, links: DataFrame, texts: DataFrame, idf
     apart = F.coalesce("of_head", "head") != F.coalesce("of_center", "center")
     own = scratch.table(own.select("bucket", "head", apart.alias("apart")), "own")
     todo = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("apart").alias("f")).where("n > 2 and f > 0")
-    todo = scratch.table(todo.select("bucket", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("blocks")), "todo")
+    parts = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
+    todo = scratch.table(todo.select("bucket", parts("n").alias("blocks"), parts("f").alias("apart_blocks")), "todo")
     if not todo.limit(1).count():
         return None
-    rows = own.join(todo, "bucket").withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.where("apart").select("bucket", F.col("block").alias("f"), every.alias("a"), "head", F.lit(True).alias("left"))
-    right = rows.select("bucket", every.alias("f"), F.col("block").alias("a"), "head", F.lit(False).alias("left"))
+    # apart members stand in blocks of their own: what is sent grows with them, not with the bucket's square
+    rows = own.join(todo, "bucket")
+    block = lambda c: F.pmod(F.xxhash64("head"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rows.where("apart").select("bucket", block("apart_blocks").alias("f"), every("blocks").alias("a"), "head", F.lit(True).alias("left"))
+    right = rows.select("bucket", every("apart_blocks").alias("f"), block("blocks").alias("a"), "head", F.lit(False).alias("left"))
     tiles = scratch.table(left.unionByName(right), "tiles")
     tiles = tiles.join(texts.select(F.col("doc_id").alias("head"), "text"), "head").select("bucket", "f", "a", "head", "left", "text")
     n = bounded_partitions(tiles.sparkSession)

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from covey.llm.common import Scratch, open_texts, packed, text_bytes, text_key, word_counts
 
@@ -45,7 +45,7 @@ def _sizes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(word_counts(buf, off), pa.int64())], ["doc_id", "key", "source", "size"])
 
     rows = docs.select("doc_id", text_key().alias("key"), F.col("source").cast("string").alias("source"), "text")
-    schema = StructType([rows.schema["doc_id"], StructField("key", IntegerType()), StructField("source", StringType()), StructField("size", LongType())])
+    schema = StructType([rows.schema["doc_id"], StructField("key", LongType()), StructField("source", StringType()), StructField("size", LongType())])
     return rows.mapInArrow(count, schema)
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from covey.llm.common import Scratch, bounded_partitions, text_key
 from covey.llm.piecelattice import MARK, NEVER, Chunk, Pieces, multiply
@@ -136,7 +136,7 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL_FILE, giant: int =
     added = [StructField("token_ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]
     long = F.coalesce(F.length("text"), F.lit(0)) > giant
     small = docs.where(~long).select("text", "doc_id").mapInArrow(lambda b: _encode_rows(b, model_file), StructType([id_field, *added]))
-    head = [StructField("doc_id", id_field.dataType), StructField("key", IntegerType()), StructField("chunk", IntegerType())]
+    head = [StructField("doc_id", id_field.dataType), StructField("key", LongType()), StructField("chunk", IntegerType())]
     large = docs.where(long).select("text", "doc_id", text_key().alias("key"))
     parts = large.dropDuplicates(["doc_id", "key"]).mapInArrow(lambda b: _split_rows(b, model_file, chunk), StructType([*head, StructField("chunks", IntegerType()), StructField("lo", IntegerType()), StructField("hi", IntegerType()), StructField("text", StringType())]))
     parts = scratch.table(parts.repartition(bounded_partitions(spark), "doc_id", "key", "chunk"), "chunks")

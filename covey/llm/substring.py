@@ -144,7 +144,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     id_type = docs.schema["doc_id"].dataType
     added = ["n_words", "n_removed", "kept_text", "repeats"]
     keyed = docs.select("doc_id", text_key().alias("key"), "text")
-    run = [StructField("doc_id", id_type), StructField("key", IntegerType()), StructField("start", IntegerType()), StructField("n", IntegerType())]
+    run = [StructField("doc_id", id_type), StructField("key", LongType()), StructField("start", IntegerType()), StructField("n", IntegerType())]
     anchors = keyed.mapInArrow(lambda b: _anchor_rows(b, window, seed), StructType([StructField("seed", LongType()), StructField("context", LongType()), *run]))
 
     seeds = scratch.table(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("c"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("c > 1").select("seed", (F.col("lo") != F.col("hi")).alias("mixed")), "seeds")

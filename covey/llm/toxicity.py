@@ -35,7 +35,7 @@ FOLDS = 4
 THRESHOLD = 0.7
 NEAR = 6
 PREFIXES = (5, 6, 7, 8)
-MOST_TERMS = 4096
+LEAST_SHARE = 0.004
 
 # fixed values: common insults, and words that address the reader
 LEXICON = "idiot idiots moron morons stupid dumb dumbass trash garbage scum loser losers clown pathetic worthless disgusting filthy vermin imbecile cretin fool foolish ugly hate hateful bastard bitch whore slut asshole shit crap bullshit fuck fucking fucker retard retarded freak pervert parasite coward liar jerk dirtbag lowlife scumbag idiota estúpido estúpida imbécil basura asqueroso payaso crétin abruti ordure minable connard dégoûtant dummkopf trottel abschaum widerlich versager blödmann".split()
@@ -197,13 +197,16 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chosen(kind: np.ndarray, term: np.ndarray, pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> list[Terms]:
-    """For each kind, the terms whose log odds ratio is surely above a bound, with that lower bound as weight."""
+    """For each kind, the terms whose log odds ratio is surely above a bound, with that lower bound as weight.
+
+    All of them: a term is in LEAST_SHARE of the toxic training texts at least, so there are as many as the terms of a
+    text over LEAST_SHARE at most, whatever the corpus.
+    """
     low = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)) - 2.0 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    good = (low > 1.0) & (pos >= max(4, np.ceil(0.004 * n_pos)))
+    good = (low > 1.0) & (pos >= max(4, np.ceil(LEAST_SHARE * n_pos)))
     out = []
     for k in range(1 + len(PREFIXES)):
         at = np.flatnonzero(good & (kind == k))
-        at = at[np.argsort(-low[at], kind="stable")][:MOST_TERMS]
         out.append(Terms(term[at].view(np.uint64), low[at]))
     return out
 
@@ -244,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n_pos or not n_neg:
         return Model(None, None, None, rate)
     counts = ours.mapInArrow(_term_rows, schema).groupBy("kind", "term").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("toxic", "clean")])
-    least = max(4, int(np.ceil(0.004 * n_pos * (1 - 1.0 / FOLDS))))
+    least = max(4, int(np.ceil(LEAST_SHARE * n_pos * (1 - 1.0 / FOLDS))))
     likely = sum(F.col(f"toxic{f}") for f in range(FOLDS))
     other = sum(F.col(f"clean{f}") for f in range(FOLDS))
     found = counts.where((likely >= least) & (likely * float(n_neg) > 2.0 * other * float(n_pos))).toArrow()

@@ -7,7 +7,8 @@ two rules nest or are disjoint.  Rules and keys are merged in one sorted sweep:
 begun carries the stack of the rules that enclose it, and the innermost of the stack whose interval still holds the
 key is the longest rule for that suffix.  The longest over the suffixes wins.
 
-Scale: only suffixes that are some rule's host take part (an equi-join with the rules' hosts).  The sweep is split by
+Scale: a host has as many suffixes to look at as a rule's host has labels at most, so keys grow with the length of a
+host, never its square.  Only suffixes that are some rule's host take part (an equi-join with the rules' hosts).  The sweep is split by
 (suffix, salt), so a suffix that holds a third of all urls is swept by as many tasks as there are salts; rules are
 copied to the salts of their own suffix alone.  Equal urls of a page are judged once.  No html is read.
 
@@ -55,8 +56,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, salt
     salts = salts or bounded_partitions(pages.sparkSession)
     urls = pages.select("page_id", "url").groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("times"))
     urls = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    labels = F.split("host", r"\.")
-    every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    dots = F.length("host") - F.length(F.replace(F.col("host"), F.lit(".")))
+    most = rules.agg(F.max(F.length("host") - F.length(F.replace(F.col("host"), F.lit("."))))).first()[0] or 0
+    every = F.transform(F.sequence(F.lit(1), F.least(dots, F.lit(most)) + 1), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
     stacks = rule_stacks(rules)
     hosts = stacks.select("suffix").distinct()
     keys = urls.select("page_id", "url", "path", F.explode(every).alias("suffix")).where("suffix <> ''").join(hosts, "suffix")

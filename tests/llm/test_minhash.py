@@ -81,6 +81,62 @@ def test_links_between_failed_members_are_found(spark, prose):
     assert {r["class_id"] for r in m.near_duplicates(docs).collect()} == {1}
 
 
+def test_string_ids_and_tiles(spark, prose):
+    """Buckets whose members aren't near their center are compared by tiles; ids are of any type."""
+    base = prose(200).split()
+    rows = []
+    for g in range(3):  # three groups that share 60 percent: one bucket now and then, never one class
+        own = prose(80).split()
+        for k in range(8):
+            w = base[:120] + own
+            w[3 + 9 * k] = f"e{g}x{k}"
+            rows.append((f"d{g}{k}", " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    of = {r["doc_id"]: r["class_id"] for r in m.near_duplicates(docs, bands=60, rows=2).collect()}
+    assert of == {d: d[:2] + "0" for d, _ in rows}
+
+
+def weighted_brute(texts):
+    """(i, j, weighted Jaccard similarity) of all pairs, with exact document frequencies."""
+    from collections import Counter
+
+    sets = [Counter(shingles(t)) for t in texts]
+    docs = Counter(s for x in sets for s in x)
+    n = sum(map(bool, sets))
+    idf = {s: float(m.inverse_frequency(np.array([c / n]))[0]) for s, c in docs.items()}
+    sets = [{s: c * idf[s] for s, c in x.items()} for x in sets]
+    total = [sum(x.values()) for x in sets]
+    for i in range(len(texts)):
+        for j in range(i):
+            small, large = sorted((sets[i], sets[j]), key=len)
+            common = sum(min(w, large[s]) for s, w in small.items() if s in large)
+            if common:
+                yield j, i, common / (total[i] + total[j] - common)
+
+
+def test_query_against_weighted_pairs(spark, small):
+    """Every pair well above the threshold is in one class, and every class hangs together by pairs at the threshold."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    of = {r["doc_id"]: r["class_id"] for r in m.op6_minhash(spark, small).collect()}
+    linked: dict = {}
+    found = above = 0
+    for i, j, sim in weighted_brute([t for _, t in docs]):
+        a, b = docs[i][0], docs[j][0]
+        if sim >= m.THRESHOLD - 0.02:
+            linked.setdefault(a, set()).add(b)
+            linked.setdefault(b, set()).add(a)
+        if sim >= m.THRESHOLD + 0.02:
+            above, found = above + 1, found + (of[a] == of[b])
+    assert above and found >= 0.98 * above
+    for d, c in of.items():
+        seen, todo = {d}, [d]
+        while todo:
+            for e in linked.get(todo.pop(), set()) - seen:
+                seen.add(e)
+                todo.append(e)
+        assert c in seen
+
+
 def test_query_against_all_pairs(spark, small):
     docs = [(r["doc_id"], set(shingles(r["text"]))) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     of = {r["doc_id"]: r["class_id"] for r in m.op6_minhash(spark, small).collect()}

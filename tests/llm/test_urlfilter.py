@@ -43,3 +43,11 @@ def test_empty(spark):
     assert [r["verdict"] for r in u.filter_urls(spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string"), u.rules_frame(spark, u.RULES).limit(0)).collect()] == ["allow"]
     plan = u.op5_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hosts_of_a_megabyte_and_of_many_labels(spark):
+    """Suffixes are as many as a rule's labels: the keys of a long host don't grow with its square."""
+    hosts = ["a" * (1 << 20) + ".example.org", "x." * (1 << 19) + "example.org", "x." * (1 << 19) + "net", ".org", "org.", ".."]
+    df = spark.createDataFrame([(k, f"http://{h}/es/") for k, h in enumerate(hosts)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in u.filter_urls(df, u.rules_frame(spark, u.RULES)).select("page_id", "rule", "verdict").collect()}
+    assert got == {0: ("example.org/es/", "block"), 1: ("example.org/es/", "block"), 2: (None, "allow"), 3: ("org/", "allow"), 4: (None, "allow"), 5: (None, "allow")}

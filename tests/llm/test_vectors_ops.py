@@ -57,6 +57,14 @@ def test_repeated_rows_and_empty(spark):
     assert ann.nearest_neighbours(none, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_rows_of_one_id_with_different_vectors_stay_apart(spark):
+    """Links are between vectors: an id's two vectors have links and components of their own, named by the smallest id."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01]), (0, [0.0, 0.0, 1.0]), (0, [0.0, 1.0, 0.02])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in e.link_vectors(df).collect())
+    assert got == [(0, 0, 0, True), (0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, False), (2, 1, 1, False), (3, 2, 0, False)]
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(k, k + 1) for k in range(30)] + [(100, 200 + k) for k in range(20)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(path, "a long, b long"), Scratch(spark, "c")).collect()}
