@@ -93,6 +93,56 @@ def test_recall_and_order(spark, small):
     assert all(s == sorted(s, key=lambda p: (-p[1], p[0])) for s in got.values())
 
 
+def offline(x, every, k=5):
+    """(lists, recall, share of the table compared with a query) of the index without Spark."""
+    u, n = ann.unit(x), len(x)
+    some = u[np.random.default_rng(0).permutation(n)[: max(4096, ann.A_LIST_SAMPLE * ann.number_of_lists(n))]]
+    index = ann.Index(ann.balanced_centroids(some, ann.number_of_lists(n))).calibrated(some, k)
+    row, at, home = index.lists_of(u)
+    index.size = np.bincount(at[at == home], minlength=len(index.c))
+    q = np.arange(0, n, every)
+    r, lists, limit = index.search(u[q], 4 * k)
+    s = u[q] @ u.T
+    s[np.arange(len(q)), q] = -np.inf
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    hits = compared = 0
+    for i in range(len(q)):
+        found: set = set()
+        outside = ann.apart(u[q[i] : q[i] + 1], index.c)[0] > limit[i]
+        for a in lists[r == i]:
+            here = at == a
+            found.update(row[here & ((home == a) | outside[home])])
+            compared += (here & ((home == a) | outside[home])).sum()
+        hits += len(found & set(near[i]))
+    return len(index.c), hits / len(q) / k, compared / len(q) / n
+
+
+@pytest.mark.parametrize("clusters, spread, least_lists", [(300, 0.4, 100), (60, 0.7, 100), (30, 0.4, 50), (20, 0.5, 30), (12, 0.5, 20)])
+def test_recall_and_share_compared(clusters, spread, least_lists):
+    rng = np.random.default_rng(clusters)
+    n = 4 * least_lists * least_lists // clusters
+    x = rng.normal(size=(clusters, 24)).repeat(n, axis=0)
+    lists, recall, share = offline(x + rng.normal(size=x.shape) * spread, len(x) // 100)
+    assert lists >= least_lists and recall >= 0.9 and share < 1 / 3
+
+
+def test_unstructured_vectors_cost_no_more_than_all(spark):
+    x = np.random.default_rng(2).normal(size=(3000, 48))
+    _, recall, share = offline(x, 50)
+    assert recall >= 0.9 and share <= 1
+
+
+def test_two_dimensions_ids_and_large_components(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 2.0]), (1, [1e200, 2e200]), (2, [2.0, 1.0]), (3, [1.0, 2.0, 3.0]), (50, [1e-200, 1e-200, 0.0]), (4, [5.0, 5.0, 0.0]), (4, [0.0, 0.0, 1.0]), (None, [1.0, 2.0]), (0, [1.0, 2.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
+    got = [tuple(r) for r in ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    # of the two vectors of vec_id 4 the smaller bytes count: (0, 0, 1)
+    want = [(0, 1, 1, 1.0), (0, 2, 2, 0.8), (50, 1, 3, 3 / np.sqrt(28)), (50, 2, 4, 0.0)]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
 def test_many_lists(spark):
     rng = np.random.default_rng(5)
     x = np.r_[rng.normal(size=(40, 24)).repeat(60, axis=0) + rng.normal(size=(2400, 24)) * 0.4, np.tile(rng.normal(size=24), (700, 1))]
