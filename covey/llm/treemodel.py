@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -23,6 +25,14 @@ class Forest:
         self.levels = [order[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
 
+FEW = 2  # levels of so few nodes are walked node by node: a deep page is a long chain of them
+
+
+def _lse2(a: float, b: float) -> float:
+    top = max(a, b)
+    return top + math.log(math.exp(a - top) + math.exp(b - top))
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
@@ -39,19 +49,33 @@ class TreeModel:
         n = len(f.parent)
         own = np.zeros((n, 2))
         own[:, 1] = np.bincount(f.node, self.weight[f.feature], minlength=n)
-        sent = np.zeros((n, 2))
+        sent, got = np.zeros((n, 2)), np.zeros((n, 2))
+        pairs = self.pair.tolist()
         for level in f.levels[:0:-1]:
-            sent[level] = _lse(self.pair[f.kind[level]] + own[level][:, None, :], 2)
-            np.add.at(own, f.parent[level], sent[level])
-        got = np.zeros((n, 2))
-        edge = np.zeros((n, 2, 2))
+            if len(level) > FEW:
+                sent[level] = _lse(self.pair[f.kind[level]] + own[level][:, None, :], 2)
+                np.add.at(own, f.parent[level], sent[level])
+                continue
+            for e, up, kind in zip(level.tolist(), f.parent[level].tolist(), f.kind[level].tolist()):
+                (p00, p01), (p10, p11) = pairs[kind]
+                x, y = own[e].tolist()
+                sent[e] = a, b = _lse2(p00 + x, p01 + y), _lse2(p10 + x, p11 + y)
+                own[up, 0] += a
+                own[up, 1] += b
         for level in f.levels[1:]:
-            above = own[f.parent[level]] + got[f.parent[level]] - sent[level]
-            joint = above[:, :, None] + self.pair[f.kind[level]]
-            got[level] = _lse(joint, 1)
-            full = joint + own[level][:, None, :]
-            edge[level] = np.exp(full - full.max(axis=(1, 2), keepdims=True))
-            edge[level] /= edge[level].sum(axis=(1, 2), keepdims=True)
+            if len(level) > FEW:
+                up = f.parent[level]
+                got[level] = _lse((own[up] + got[up] - sent[level])[:, :, None] + self.pair[f.kind[level]], 1)
+                continue
+            for e, up, kind in zip(level.tolist(), f.parent[level].tolist(), f.kind[level].tolist()):
+                (p00, p01), (p10, p11) = pairs[kind]
+                x, y = (own[up] + got[up] - sent[e]).tolist()
+                got[e] = _lse2(x + p00, y + p10), _lse2(x + p01, y + p11)
+        inner = np.flatnonzero(f.parent >= 0)
+        up, edge = f.parent[inner], np.zeros((n, 2, 2))
+        full = (own[up] + got[up] - sent[inner])[:, :, None] + self.pair[f.kind[inner]] + own[inner][:, None, :]
+        edge[inner] = np.exp(full - full.max(axis=(1, 2), keepdims=True))
+        edge[inner] /= edge[inner].sum(axis=(1, 2), keepdims=True)
         both = own + got
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700))), edge
 
