@@ -1,34 +1,71 @@
-"""The piece lattice of a SentencePiece BPE model, as a max-plus system.
+"""The piece lattice of a SentencePiece model, as a max-plus system.
 
-A text's encoding by merges is the one path through the lattice of pieces whose neighbours are compatible: a pair of
-pieces is compatible if encoding their joined characters gives that pair back.  (Merging the whole text crosses the
-border of two final pieces never, merging the pair alone would cross it at the same merge.)  A path scores 0 over
-compatible neighbours and minus infinity over others, so the max-plus product of the pieces' transitions over a range
-of characters tells which states after the range each state before it can reach.
+A text's encoding is the best path through the lattice of its pieces.  Of a unigram model a path scores the sum of its
+pieces' scores.  Of a BPE model the encoding by merges is the one path whose neighbours are compatible: a pair of pieces
+is compatible if encoding their joined characters gives that pair back.  (Merging the whole text crosses the border of
+two final pieces never, merging the pair alone would cross it at the same merge.)  There a path scores 0 over compatible
+neighbours and minus infinity over others.  The max-plus product of the pieces' transitions over a range of characters
+gives the best score from each state before the range to each state after it.
 
 A state at a position is a piece that ends there or reaches over it.  Pieces don't hold a space mark behind another
-character, so there is a border wherever another character meets a space mark; between two such borders the library
-encodes as fast as it can, and the lattice is walked only next to a chunk's ends.
+character, so there is a border wherever another character meets a space mark, and no path crosses it with a piece.
+Between two such borders there is a single state on either side: the transfer matrix of a word is one number, and its
+best path is remembered by the word's characters.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARK = "▁"
 NEVER = -np.inf
+UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
+UNKNOWN_COST = 10.0  # fixed value: how far an unknown character scores below the least piece
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    out = shift = 0
+    while True:
+        b = data[at]
+        out, at, shift = out | (b & 127) << shift, at + 1, shift + 7
+        if b < 128:
+            return out, at
+
+
+def fields(data: bytes):
+    """(number, value) of a protocol buffer message; submessages and strings as bytes."""
+    at = 0
+    while at < len(data):
+        tag, at = _varint(data, at)
+        kind = tag & 7
+        if kind == 0:
+            value, at = _varint(data, at)
+        else:
+            size, at = _varint(data, at) if kind == 2 else (8 if kind == 1 else 4, at)
+            value, at = data[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def model_type(model: bytes) -> int:
+    trainer = next((v for n, v in fields(model) if n == 2), b"")
+    return next((v for n, v in fields(trainer) if n == 3), UNIGRAM)
 
 
 class Pieces:
-    """One model file with what encoding by chunks needs; ``of`` keeps one for each file and process."""
+    """One model with what encoding by chunks needs; ``of`` keeps one for each model and process."""
 
-    made: dict[str, Pieces] = {}
-    MOST_CACHED = 150_000
+    made: dict[bytes, Pieces] = {}
+    MOST_CACHED = 250_000
 
-    def __init__(self, model_file: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        self.lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.kind = model_type(model)
         size = len(self.lib)
         self.piece = [self.lib.id_to_piece(i) for i in range(size)]
         special = [self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_byte(i) or self.lib.is_unused(i) for i in range(size)]
@@ -36,19 +73,33 @@ class Pieces:
         self.score = {p: self.lib.get_score(i) for p, i in self.id.items()}
         self.bytes = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.id))
-        if any(MARK in p.lstrip(MARK) for p in self.id):
-            raise ValueError("the model has pieces with a space mark inside")
-        if self.lib.encode("a  b\n c") != [i for u in ("a", "  b\n", " c") for i in self._by_merges(MARK + u.removeprefix(" ") if u == "a" else u.replace(" ", MARK))]:
-            raise ValueError("the model doesn't encode by merges of pieces without normalisation")
+        self.begins = {p[:n] for p in self.id for n in range(1, len(p) + 1)}
+        self.unknown = min(self.score.values()) - UNKNOWN_COST
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.walked: dict[str, tuple[bytes, float]] = {}
         self.mark = np.array([self.id[MARK]], np.int32).tobytes() if MARK in self.id else b""
+        surface = [b"" if s else p.replace(MARK, " ").encode() for p, s in zip(self.piece, special)]
+        for b, i in enumerate(self.bytes):
+            surface[i] = bytes([b])
+        self.by_library = np.array([s and not self.lib.is_byte(i) for i, s in enumerate(special)])
+        self.surface = pa.array([*surface, *(s.removeprefix(b" ") for s in surface)], pa.binary())  # then as a text's first
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError("the model neither merges pieces nor scores them")
+        if any(MARK in p.lstrip(MARK) for p in self.id):
+            raise ValueError("the model has pieces with a space mark inside")
+        if self.lib.piece_to_id("<0x00>") == self.lib.unk_id():
+            raise ValueError("the model has no pieces for bytes")
+        probe = "a  b\n c"
+        if self.lib.encode(probe) != np.frombuffer(self.word(MARK + probe.replace(" ", MARK))[0], np.int32).tolist():
+            raise ValueError("the model doesn't encode by its pieces without normalisation")
 
     @classmethod
-    def of(cls, model_file: str) -> Pieces:
-        if model_file not in cls.made:
-            cls.made[model_file] = cls(model_file)
-        return cls.made[model_file]
+    def of(cls, model: bytes) -> Pieces:
+        key = hashlib.sha1(model).digest()
+        if key not in cls.made:
+            cls.made[key] = cls(model)
+        return cls.made[key]
 
     # --- merges ---------------------------------------------------------------------------------------------------
 
@@ -69,19 +120,17 @@ class Pieces:
         found = self.id.get(part)
         return [found] if found is not None else [self.bytes[b] for b in part.encode("utf-8", "surrogatepass")]
 
-    def _by_merges(self, text: str) -> list[int]:
-        return [i for p in self.merge(text) for i in self.ids_of(p)]
-
     def compatible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        found = self.pairs.get(key)
+        if self.kind == UNIGRAM:
+            return True
+        found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merge(a + b) == [a, b]
+            found = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return found
 
-    # --- whole words ------------------------------------------------------------------------------------------------
+    # --- whole texts ------------------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> bytes:
         """Piece ids as int32 bytes, from words that the library has encoded before where it has."""
@@ -104,27 +153,117 @@ class Pieces:
             out.append(np.array(lib.encode(spaces[1:]), np.int32).tobytes() if len(spaces) > 1 else self.mark)
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.lib.decode(ids.tolist())
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids: joined pieces, by the library where a list has controls or bytes of no character."""
+        lists = pc.fill_null(lists, [])
+        ids, length = np.array(lists.flatten()), np.asarray(lists.value_lengths())
+        end = np.cumsum(length)
+        begin = end - length
+        odd = np.r_[0, np.cumsum(self.by_library[ids])]
+        apart = set(np.flatnonzero(odd[end] > odd[begin]).tolist())
+        first = ids.copy()
+        first[begin[length > 0]] += len(self.piece)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, end].astype(np.int32)), self.surface.take(pa.array(first))), b"")
+        try:
+            texts = texts.cast(pa.string())
+            if not apart:
+                return texts
+            out = texts.to_pylist()
+        except pa.ArrowInvalid:
+            apart, out = set(range(len(length))), [None] * len(length)
+        for k in apart:
+            out[k] = self.lib.decode(ids[begin[k] : end[k]].tolist())
+        return pa.array(out, pa.string())
 
     # --- the lattice ------------------------------------------------------------------------------------------------
 
     def starting(self, text: str, at: int) -> list[str]:
-        """Parts that can stand at ``at``: pieces that merging leaves whole, and any single character."""
+        """Parts that can stand at ``at``: pieces (of merges, those that merging leaves whole), and the single character."""
         out = [text[at]]
-        for n in range(2, min(self.longest, len(text) - at) + 1):
-            p = text[at : at + n]
-            if p in self.id and self._whole(p):
-                out.append(p)
+        id_of, begins, whole = self.id, self.begins, self.pairs
+        for end in range(at + 2, min(at + self.longest, len(text)) + 1):
+            p = text[at:end]
+            if p not in begins:
+                break
+            if p in id_of:
+                good = self.kind == UNIGRAM or whole.get((p, ""))
+                if good is None:
+                    good = whole[p, ""] = self.merge(p) == [p]
+                if good:
+                    out.append(p)
         return out
 
-    def _whole(self, p: str) -> bool:
-        key = (p, "")
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.pairs[key] = self.merge(p) == [p]
+    def gain(self, part: str) -> float:
+        return 0.0 if self.kind == BPE else self.score.get(part, self.unknown)
+
+    def word(self, text: str) -> tuple[bytes, float]:
+        """Ids and score of the best path through a text with a border on either side."""
+        found = self.walked.get(text)
+        if found is not None:
+            return found
+        n = len(text)
+        parts, score = self._only_path(text) if self.kind == BPE else self._best_path(text)
+        found = (np.array([i for x in parts for i in self.ids_of(x)], np.int32).tobytes(), score)
+        if len(self.walked) < self.MOST_CACHED and n < 64:
+            self.walked[text] = found
         return found
 
+    def _best_path(self, text: str) -> tuple[list[str], float]:
+        ending: list[dict] = [{"": (0.0, "")}, *({} for _ in text)]  # at a position: part that ends there -> (score, part before)
+        for pos in range(len(text)):
+            before = max(ending[pos], key=lambda p: ending[pos][p][0], default=None)
+            if before is not None:
+                score = ending[pos][before][0]
+                for part in self.starting(text, pos):
+                    ending[pos + len(part)][part] = (score + self.gain(part), before)
+        at, out = len(text), []
+        part = max(ending[at], key=lambda p: ending[at][p][0])
+        total = ending[at][part][0]
+        while at:
+            out.append(part)
+            at, part = at - len(part), ending[at][part][1]
+        return out[::-1], total
+
+    def _only_path(self, text: str) -> tuple[list[str], float]:
+        """Of merges all paths but one score minus infinity: it is found by trying long parts first, each place and part once."""
+        n, pos, pairs = len(text), 0, self.pairs
+        path, tried, ways = [""], set(), [iter(self.starting(text, 0)[::-1])]
+        while pos < n:
+            before = path[-1]
+            for part in ways[-1]:
+                if (pos, part) in tried:
+                    continue
+                if before:
+                    fits = pairs.get((before, part))
+                    if not (self.compatible(before, part) if fits is None else fits):
+                        continue
+                tried.add((pos, part))
+                path.append(part)
+                pos += len(part)
+                ways.append(iter(self.starting(text, pos)[::-1] if pos < n else ()))
+                break
+            else:
+                ways.pop()
+                pos -= len(path.pop())
+                if not ways:
+                    raise ValueError("no path through the pieces of a word")
+        return path[1:], 0.0
+
+    def words_between(self, text: str) -> tuple[bytes, float]:
+        """Ids and score of a text with borders on either side, word by word."""
+        out, total, spaces = [], 0.0, ""
+        for w in text.split(MARK)[1:]:  # a text between borders begins with a mark
+            if not w:
+                spaces += MARK
+                continue
+            ids, score = self.word(spaces + MARK + w)
+            spaces = ""
+            out.append(ids)
+            total += score
+        if spaces:
+            raise ValueError("a text between borders doesn't end with a mark")
+        return b"".join(out), total
+
     def states(self, text: str, at: int) -> list[tuple[int, str]]:
         """(characters behind ``at``, part) of every part of ``text`` that starts before ``at`` and ends at or behind it."""
         return [(b + len(p) - at, p) for b in range(max(0, at - self.longest), at) for p in self.starting(text, b) if b + len(p) >= at]
@@ -171,7 +310,7 @@ class Walk:
                             scores = np.where(better, row, scores)
                             back = [key if b else old for b, old in zip(better, back)]
                 if scores is not None:
-                    self.at.setdefault(pos + len(part), {})[pos, part] = (scores, back)
+                    self.at.setdefault(pos + len(part), {})[pos, part] = (scores + pieces.gain(part), back)
 
     def matrix(self, after: list[tuple[int, str]]) -> np.ndarray:
         """Max-plus transfer matrix, states before by states after (those at ``hi``)."""
@@ -228,11 +367,15 @@ class Chunk:
         return [Walk(self.pieces, self.text, self.lo, a, self.before), Walk(self.pieces, self.text, b, self.hi, [])]
 
     def matrix(self) -> np.ndarray:
+        """The product of the transfers up to the first border, of the words from there to the last, and behind it."""
         walks = self._walks()
         if not self.middle:
             return walks[0].matrix(self.after)
-        reach = walks[0].matrix(self._ends(self.middle[0]))
-        return multiply(reach.max(axis=1, keepdims=True) if reach.size else np.full((len(reach), 1), NEVER), walks[1].matrix(self.after))
+        a, b = self.middle
+        reach = walks[0].matrix(self._ends(a))
+        reach = reach.max(axis=1, keepdims=True) if reach.size else np.full((len(reach), 1), NEVER)
+        between = 0.0 if self.pieces.kind == BPE else self.pieces.words_between(self.text[a:b])[1]  # paths of merges score 0
+        return multiply(reach + between, walks[1].matrix(self.after))
 
     def ids(self, before: int, after: int) -> bytes:
         """Piece ids of the chunk's parts for the chosen states."""
@@ -243,5 +386,4 @@ class Chunk:
         a, b = self.middle
         ends = self._ends(a)
         best = int(np.argmax(walks[0].matrix(ends)[before]))
-        # the text between two borders begins with a space mark, which the library puts before what it is given
-        return to_ids(walks[0].path(before, ends[best])) + p.encode(self.text[a + 1 : b].replace(MARK, " ")) + to_ids(walks[1].path(0, self.after[after]))
+        return to_ids(walks[0].path(before, ends[best])) + p.words_between(self.text[a:b])[0] + to_ids(walks[1].path(0, self.after[after]))
