@@ -15,7 +15,8 @@ dealt evenly over hash bins and then over the documents of a bin: no document ex
 brings a cell's documents together.  All of it is a function of the rows, so reruns agree.
 
 Scale: whole texts are read once and not shuffled; what moves is a row for each document without its text.  Cells are
-as many as different sizes, not as rows, and the dual state has a row for each source and is never collected.
+as many as different sizes, not as rows (a source's cells, which one task rounds, are at most as many as the words of its
+longest text), and the dual state has a row for each source and is never collected.
 
 Edge cases: a null text has size 0 and is taken 0 words; an empty table gives an empty result; repeated rows are
 documents of their own; a null source is a source.

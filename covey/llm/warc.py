@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -154,8 +154,11 @@ def decide(pages: DataFrame, scratch: Scratch, least_bytes: int) -> DataFrame:
     top = F.col("page_id").eqNullSafe(F.col("top"))
     plain = rows.where("_digest is null or not tied").withColumn("revisit", F.col("_digest").isNotNull() & ~top)
     if groups.where("tied").limit(1).count():
-        place = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-        plain = plain.unionByName(rows.where("tied").withColumn("revisit", ~top | (place > 1)))
+        # several rows of the largest page_id: numbered where they are written, one is picked from numbers alone
+        rows = scratch.table(rows.where("tied").withColumn("row", F.monotonically_increasing_id()), "tied")
+        first = rows.where(F.col("page_id").eqNullSafe(F.col("top"))).groupBy(F.col("digest").alias("_of")).agg(F.min(F.struct("url", "row"))["row"].alias("first"))
+        rows = rows.join(scratch.table(first, "first"), F.col("digest") == F.col("_of"))
+        plain = plain.unionByName(rows.withColumn("revisit", F.col("row") != F.col("first")).select(*plain.columns))
     return plain.select("page_id", "url", "html", "digest", "revisit", F.when(F.col("revisit"), F.col("top")).alias("refers_to"))
 
 

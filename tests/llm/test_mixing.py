@@ -42,6 +42,30 @@ def test_targets_are_met(spark, prose):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_rates_are_the_nearest_to_one(spark, prose):
+    """Rates are tilted by one dual variable a source, meet its target, and no other rates that do are nearer in relative entropy."""
+    import numpy as np
+
+    rows = [(k, prose(3 + (k * 53) % 300), f"s{k % 4}", 0) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got, rng = m.mix_sources(docs).collect(), np.random.default_rng(1)
+    entropy = lambda r: np.sum(np.where(r > 0, r * np.log(np.maximum(r, 1e-300)), 0) - r + 1)
+    for source in {r["source"] for r in got}:
+        size, rate, target = (np.array([r[c] for r in got if r["source"] == source], float) for c in ("size", "rate", "target"))
+        assert abs(size @ rate - target[0]) < 1e-5 * target[0] and (rate <= 2).all()
+        inside = rate < 2 - 1e-9
+        tilt = np.log(rate[inside]) / size[inside]
+        assert not inside.any() or np.ptp(tilt) < 1e-9
+        for _ in range(200):  # moves that keep the words taken
+            i, j = rng.choice(len(size), 2, replace=False)
+            step = rng.normal() * 0.05
+            other = rate.copy()
+            other[i] += step * size[j] / size[i] if size[j] < size[i] else step
+            other[j] -= step if size[j] < size[i] else step * size[i] / size[j]
+            if (other >= 0).all() and (other <= 2).all():
+                assert entropy(other) >= entropy(rate) - 1e-7
+
+
 def test_hot_cell_of_copies(spark, prose):
     text = prose(40)
     rows = [(k, text, "hot", 0) for k in range(500)] + [(1000 + k, prose(60), "cold", 0) for k in range(50)]
