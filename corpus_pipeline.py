@@ -2,6 +2,11 @@
 
 Rejected documents go, one document of each near-duplicate class stays, repeated passages are cut, sources are mixed to
 their target weights (rows repeat as often as the mix takes them), and texts become token ids.
+
+Edge cases.  Null and empty texts are scored like texts without words, are no near duplicates, lose nothing, have size 0
+and so aren't taken by the mix.  Rows with a null doc_id stay apart from near-dedup; repeated rows of one doc_id and text
+become one there.  Columns beside doc_id, text and source go along untouched, whatever their names (n_chars follows the
+text).  Without labels of both classes no row scores high enough to go.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("minhash_near_dedup", drop_near_duplicates), ("substring_dedup", cut_repeats), ("source_mixing", mix), ("sentencepiece", encode)]
-ORACLE_SQL = None  # model scores, sampled candidates and piece merges aren't expressible; tests hold run() against brute force
+ORACLE_SQL = None  # model scores, weighted samples and piece merges aren't expressible; tests hold every stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
