@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []
+_WRITTEN: list[str] = []
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """The same rows read from a written table, so that later plans start there and survive lost executors.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, removed when the session's program ends.
 
-    The folder is the session's spark.checkpoint.dir, or a temporary one where the session names none (local tests).
+    Only a local session may name none; it gets a temporary folder.
     """
-    spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.TemporaryDirectory(prefix="covey-"))
         where = f"file://{_LOCAL[0].name}"
     path = f"{where.rstrip('/')}/covey-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _remove_written() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in _WRITTEN:
+            remove(spark, path)
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """The same rows read from a written table, so that later plans start there and survive lost executors."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,24 +9,35 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covey.functions import vectors as V
 from covey.operators import series as S
 
-HOF_WORK = 1e8  # products up to which the array kernel is used
+HOF_WORK = 1e6  # products up to which the array kernel is used
 BLOCK = 512  # series in a block: a task holds two blocks and one tile of products
+JOIN_BLOCK = 64  # series on one side of a block of the pair join
+
+
+def numbered_blocks(n: int, size: int, tasks: int) -> int:
+    """Blocks of n series: of at most ``size``, and enough for their pairs to keep ``tasks`` cores busy."""
+    return max(1, math.ceil(n / size), min(math.ceil(n / 16), math.ceil(math.sqrt(2 * tasks))))
+
+
+def cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
 
 
 def _pair_join(vectors: DataFrame) -> DataFrame:
-    """All pairs i < j by blocks: each series meets the blocks from its own on, an equi-join and not a product."""
-    blocks = 16
-    b = F.pmod(F.hash("id"), F.lit(blocks))
-    left = vectors.select(F.col("id").alias("i"), F.col("x").alias("a"), b.alias("bi")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = vectors.select(F.col("id").alias("j"), F.col("x").alias("b"), b.alias("bj"))
-    return left.join(right, "bj").where("i < j")
+    """All pairs i < j by pairs of blocks, as many as the series need: an equi-join and not a product."""
+    m = numbered_blocks(vectors.count(), JOIN_BLOCK, cores(vectors))
+    own = F.pmod(F.hash("id"), F.lit(m))
+    to = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = vectors.select(F.col("id").alias("i"), F.col("x").alias("a"), own.alias("bi"), to.alias("bj"))
+    right = vectors.select(F.col("id").alias("j"), F.col("x").alias("b"), own.alias("bj"), to.alias("bi"))
+    return left.join(right, ["bi", "bj"]).where("i < j")
 
 
 def distances(vectors: DataFrame, by, name: str = "d") -> DataFrame:
@@ -58,24 +69,31 @@ def long_correlations(series: DataFrame) -> DataFrame:
     return sums.select("i", "j", rho.alias("rho")).where("rho is not null")
 
 
+def stacked(table: pa.Table, column: str = "x") -> np.ndarray:
+    """The arrays of a column as the rows of a matrix."""
+    lists = table[column].combine_chunks()
+    return np.asarray(lists.flatten()).reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
+
+
 def _block_correlations(vectors: DataFrame) -> DataFrame:
-    n = vectors.count()
-    m = max(1, math.ceil(n / BLOCK))
+    """Tiles of two blocks: one matrix product each; the number of blocks follows the series and the cores."""
+    m = numbered_blocks(vectors.count(), BLOCK, cores(vectors))
     placed = vectors.select("id", "x", F.pmod(F.hash("id"), F.lit(m)).alias("own"))
     sent = placed.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("bi", F.least("own", "to")).withColumn("bj", F.greatest("own", "to")).drop("to")
 
-    def tile(part: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = part["bi"].iloc[0], part["bj"].iloc[0]
-        a, b = part[part["own"] == bi], part[part["own"] == bj]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "j": [], "rho": []})
-        r = np.clip(np.stack(a["x"].to_list()) @ np.stack(b["x"].to_list()).T, -1, 1)
-        i, j = np.repeat(a["id"].to_numpy(), len(b)), np.tile(b["id"].to_numpy(), len(a))
-        once = i < j if bi == bj else np.ones(len(i), bool)
-        return pd.DataFrame({"i": np.minimum(i, j)[once], "j": np.maximum(i, j)[once], "rho": r.ravel()[once]})
+    def tile(key, part):
+        bi, bj = key[0].as_py(), key[1].as_py()
+        own, ids, x = np.asarray(part["own"]), np.asarray(part["id"]), stacked(part)
+        a, b = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
+        r = np.clip(x[a] @ x[b].T, -1, 1)
+        less = ids[a][:, None] < ids[b][None, :]
+        p, q = np.nonzero(less if bi == bj else np.ones_like(less))
+        i, j = ids[a][p], ids[b][q]
+        return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "rho": r[p, q]})
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return sent.groupBy("bi", "bj").applyInPandas(tile, f"i {kind}, j {kind}, rho double")
+    tiles = sent.repartition(m * (m + 1) // 2, "bi", "bj").groupBy("bi", "bj")
+    return tiles.applyInArrow(tile, f"i {kind}, j {kind}, rho double")
 
 
 def symmetric(pairs: DataFrame, value: str = "rho") -> DataFrame:

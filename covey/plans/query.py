@@ -1,7 +1,7 @@
 """Runs a query: series -> normalised vectors -> pairs -> candidates by pattern -> constraints -> results.
 
-Results: (lhs, rhs, sim), sides as sorted arrays of ids.  Everything is lazy but for small driver-side decisions
-(kernel, top-k seed).
+Results: (lhs, rhs, sim), sides as sorted arrays of ids.  Vectors and pairs are each computed once and written, since
+every pattern and join reads them again; what follows is lazy but for a lower bound of the k best (``seed``).
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from covey.operators import measures as M
 from covey.operators import pairs as P
 from covey.operators import series as S
 from covey.operators.candidates import candidates, pack
+from covey.operators.lineage import cut
 from covey.plans import pruned, tiled, vectorwise
 from covey.spec import Measure, QuerySpec, QueryType, Strategy
 
 
 TILED_FROM = 300  # series from which joins of three are more work than tiles
+SEED_FROM = 20_000  # pairs from which a bound of the k best is worth a pass of its own
 
 
 def prepared(series: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -78,14 +80,29 @@ def finished(results: DataFrame, spec: QuerySpec) -> DataFrame:
     return results.orderBy(*ranked(results)).limit(spec.k)
 
 
-def run_on_pairs(pairs: DataFrame, spec: QuerySpec, length_squared: float = 1.0, seeded: bool = False) -> DataFrame:
+def seed(pairs: DataFrame, spec: QuerySpec, length_squared: float = 1.0) -> float | None:
+    """A lower bound of the k-th best similarity: the k-th best among the smallest pattern and what its best sets grow to.
+
+    Every pattern of the climb adds one series to the sets found so far; those are real sets of the query, so none below
+    the k-th best of them is in the answer.
+    """
+    chain = spec.patterns()
+    if spec.query is not QueryType.TOPK or len(chain) < 2:
+        return None
+    best = finished(pattern_results(pairs, spec, *chain[0], length_squared), spec)
+    for left, right in chain[1:]:
+        # the pairs among the series of the best sets so far: at most k * size of them
+        ids = best.select(F.explode(F.concat("lhs", "rhs")).alias("id")).distinct()
+        few = pairs.join(ids.withColumnRenamed("id", "i"), "i", "left_semi").join(ids.withColumnRenamed("id", "j"), "j", "left_semi")
+        best = cut(finished(best.unionByName(pattern_results(few, spec, left, right, length_squared)), spec), "seed")
+    first = best.agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("s")).first()
+    return first["s"] if first["n"] >= spec.k else None
+
+
+def run_on_pairs(pairs: DataFrame, spec: QuerySpec, length_squared: float = 1.0) -> DataFrame:
     spec = spec.normalised()
     chain = spec.patterns()
-    least = None
-    if seeded and spec.query is QueryType.TOPK and len(chain) > 1:
-        # the k-th best of the smallest pattern bounds the answer from below before larger patterns are joined
-        first = finished(pattern_results(pairs, spec, *chain[0], length_squared), spec).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("s")).first()
-        least = first["s"] if first["n"] >= spec.k else None
+    least = seed(pairs, spec, length_squared) if spec.query is QueryType.TOPK and pairs.count() > SEED_FROM else None
     return finished(union_all([pattern_results(pairs, spec, a, b, length_squared, least) for a, b in chain]), spec)
 
 
@@ -125,15 +142,15 @@ def run_query(series: DataFrame, spec: QuerySpec, kernel: str | None = None) ->
     if spec.measure is Measure.TOTAL_CORRELATION:
         return total_correlation(series, spec)
     if spec.measure in (Measure.MANHATTAN, Measure.CHEBYSHEV) or spec.strategy is Strategy.VECTOR:
-        return finished(vectorwise.run(prepared(series, spec), spec), spec)
-    vectors = prepared(series, spec)
+        return finished(vectorwise.run(cut(prepared(series, spec), "vectors"), spec), spec)
+    vectors = cut(prepared(series, spec), "vectors")
     length = points(spec, vectors)
     if spec.strategy is Strategy.TILED or (spec.strategy is Strategy.AUTO and tiled.suits(spec) and vectors.count() > TILED_FROM):
         return finished(tiled.run(vectors, spec), spec)
-    pairs = P.correlations(vectors, kernel)
+    pairs = cut(P.correlations(vectors, kernel), "pairs")
     if spec.strategy is Strategy.PRUNED:
         return finished(pruned.run(vectors, pairs, spec), spec)
-    return run_on_pairs(pairs, spec, length, seeded=False)
+    return run_on_pairs(pairs, spec, length)
 
 
 def with_names(results: DataFrame, names: DataFrame) -> DataFrame:

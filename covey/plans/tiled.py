@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covey.operators.pairs import cores, correlations, stacked
 from covey.spec import DENOMINATOR_FLOOR, Measure, QuerySpec, QueryType
 
-BLOCK = 192
+BLOCK = 512
 
 
 def suits(spec: QuerySpec) -> bool:
@@ -28,51 +29,63 @@ def _tile(spec: QuerySpec):
     if w[0] != w[1]:
         raise ValueError("tiles need equal weights on the right side")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        a, b, c = int(part["a"].iloc[0]), int(part["b"].iloc[0]), int(part["c"].iloc[0])
+    def run(key, part):
+        a, b, c = (k.as_py() for k in key)
+        own = np.asarray(part["own"])
+        every_id, every_x = np.asarray(part["id"]), stacked(part)
         ids, x = {}, {}
         for block in {a, b, c}:
-            rows = part[part["own"] == block].sort_values("id")
-            ids[block], x[block] = rows["id"].to_numpy(), (np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, 1)))
-        if not all(len(ids[k]) for k in (a, b, c)):
-            return pd.DataFrame({"i": [], "j": [], "k": [], "sim": []})
+            at = np.flatnonzero(own == block)
+            at = at[np.argsort(every_id[at])]
+            ids[block], x[block] = every_id[at], every_x[at]
         ij, ik, jk = (np.clip(x[p] @ x[q].T, -1, 1) for p, q in ((a, b), (a, c), (b, c)))
         d_right = np.maximum(w[0] ** 2 + w[1] ** 2 + 2 * w[0] * w[1] * jk, DENOMINATOR_FLOOR)
         d_left = max(u * u, DENOMINATOR_FLOOR)
-        out = []
+        over = u * w[0] / np.sqrt(d_left * d_right)
+        if b == c:
+            over[np.tril_indices(len(over))] = 0.0  # j < k; a set without it can't pass, as tau is kept below
+        found = []
+        least = spec.tau - 1e-12
         for r, i in enumerate(ids[a]):
-            s = np.clip(u * w[0] * (ij[r][:, None] + ik[r][None, :]) / np.sqrt(d_left * d_right), -1, 1)
-            pick = s > spec.tau
-            pick &= (ids[b] != i)[:, None] & (ids[c] != i)[None, :]
+            s = (ij[r][:, None] + ik[r][None, :]) * over
+            jj, kk = np.nonzero(s > least)
+            if b == c:
+                once = jj < kk
+                jj, kk = jj[once], kk[once]
+            sim = np.clip(u * w[0] * (ij[r][jj] + ik[r][kk]) / np.sqrt(d_left * d_right[jj, kk]), -1, 1)
+            pick = (sim > spec.tau) & (ids[b][jj] != i) & (ids[c][kk] != i)
+            most = np.maximum(ij[r][jj], ik[r][kk])
             if spec.min_jump > 0:
-                pick &= s > np.maximum(ij[r][:, None], ik[r][None, :]) + spec.min_jump
+                pick &= sim > most + spec.min_jump
             if spec.irreducible:
-                pick &= np.maximum(ij[r][:, None], ik[r][None, :]) <= spec.tau
-            jj, kk = np.nonzero(pick)
-            j, k = ids[b][jj], ids[c][kk]
-            once = j < k if b == c else np.ones(len(j), bool)
-            out.append(pd.DataFrame({"i": i, "j": np.minimum(j, k)[once], "k": np.maximum(j, k)[once], "sim": s[jj, kk][once]}))
-        return pd.concat(out)
+                pick &= most <= spec.tau
+            j, k = ids[b][jj[pick]], ids[c][kk[pick]]
+            found.append((np.full(len(j), i, ids[a].dtype), np.minimum(j, k), np.maximum(j, k), sim[pick]))
+        columns = [np.concatenate(v) for v in zip(*found)] if found else [every_id[:0]] * 3 + [np.zeros(0)]
+        return pa.table(dict(zip("ijk", columns)) | {"sim": columns[3]})
 
     return run
 
 
 def run(vectors: DataFrame, spec: QuerySpec) -> DataFrame:
+    """Tiles (a; b <= c) of three blocks; a vector is sent once to each tile in which its block stands."""
     if spec.measure not in (Measure.PEARSON, Measure.SPEARMAN) or (spec.left, spec.right) != (1, 2):
         raise ValueError("tiles are for correlations of one series with two")
-    from covey.operators.pairs import correlations
     from covey.plans.query import pattern_results
 
-    m = max(1, math.ceil(vectors.count() / BLOCK))
-    own = F.pmod(F.hash("id"), F.lit(m))
+    n = vectors.count()
+    m = max(1, math.ceil(n / BLOCK), min(math.ceil(n / 32), math.ceil((4 * cores(vectors)) ** (1 / 3))))
+    placed = vectors.select("id", "x", F.pmod(F.hash("id"), F.lit(m)).alias("own"))
     every = F.sequence(F.lit(0), F.lit(m - 1))
-    two = vectors.select("id", "x", own.alias("own")).withColumn("p", F.explode(every)).withColumn("q", F.explode(every))
-    # a vector goes to the tiles (a; b <= c) in which its block stands anywhere
-    spots = F.array_distinct(F.array(F.struct(F.col("own").alias("a"), F.least("p", "q").alias("b"), F.greatest("p", "q").alias("c")), F.struct(F.col("p").alias("a"), F.least("own", "q").alias("b"), F.greatest("own", "q").alias("c"))))
-    sent = two.withColumn("at", F.explode(spots)).select("id", "x", "own", "at.*").dropDuplicates(["id", "a", "b", "c"])
+    tile = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+    # as the left block: with all pairs of blocks; as a right one: with any other block left and any block beside it
+    as_left = F.flatten(F.transform(every, lambda b: F.transform(F.sequence(b, F.lit(m - 1)), lambda c: tile(F.col("own"), b, c))))
+    others = F.filter(every, lambda a: a != F.col("own"))
+    as_right = F.flatten(F.transform(others, lambda a: F.transform(every, lambda q: tile(a, F.least("own", q), F.greatest("own", q)))))
+    sent = placed.withColumn("at", F.explode(F.concat(as_left, as_right))).select("id", "x", "own", "at.*")
     kind = vectors.schema["id"].dataType.simpleString()
-    triples = sent.groupBy("a", "b", "c").applyInPandas(_tile(spec), f"i {kind}, j {kind}, k {kind}, sim double")
-    out = triples.select(F.array("i").alias("lhs"), F.array("j", "k").alias("rhs"), "sim")
+    tiles = sent.repartition(m * m * (m + 1) // 2, "a", "b", "c").groupBy("a", "b", "c")
+    out = tiles.applyInArrow(_tile(spec), f"i {kind}, j {kind}, k {kind}, sim double").select(F.array("i").alias("lhs"), F.array("j", "k").alias("rhs"), "sim")
     if (1, 1) in spec.patterns():
         out = pattern_results(correlations(vectors), spec, 1, 1).unionByName(out)
     return out
