@@ -226,7 +226,7 @@ set_query("topk_mp_3", "nation", QuerySpec(Measure.MULTIPOLE, 3, 0, query=_TOP,
 set_query("progressive_pc_1_2", "nation", QuerySpec(left=1, right=2, query=QueryType.PROGRESSIVE, k=40, tau=0.2))
 set_query("mp_2", "supplier", QuerySpec(Measure.MULTIPOLE, 2, 0, tau=0.25))
 set_query("mp_3", "nation", QuerySpec(Measure.MULTIPOLE, 3, 0, tau=0.3, **_only))
-set_query("mp_4", "nation", QuerySpec(Measure.MULTIPOLE, 4, 0, tau=0.45, **_only), False)
+set_query("mp_4", "nation", QuerySpec(Measure.MULTIPOLE, 4, 0, tau=0.45, **_only))
 set_query("spearman_1_2", "nation", QuerySpec(Measure.SPEARMAN, 1, 2, tau=0.25, **_only), pairs=RANKED)
 _pruned = QuerySpec(left=1, right=2, tau=0.25, max_only=True)
 set_query("pruned_pc_1_2", "nation", replace(_pruned, strategy=Strategy.PRUNED), _pruned)
@@ -297,15 +297,15 @@ def type_arrivals(spark, d) -> DataFrame:
 
 _AGG_SQL = {"sum": "sum(value)", "avg": "avg(value)", "min": "min(value)", "max": "max(value)", "count": "count(value)::double", "first": "min(struct_pack(t := t, v := value)).v", "last": "max(struct_pack(t := t, v := value)).v"}
 for _how, _agg in _AGG_SQL.items():
-    add(f"basic_window_{_how}", f"with {_ARRIVALS} select id::int id, ceil(t / 60.0)::bigint bw, round({_agg}, 4) + 0.0 v from a where t > 0 group by 1, 2")(
-        lambda spark, d, how=_how: windows.basic_windows(type_arrivals(spark, d), HOUR, how).select("id", "bw", rounded("v").alias("v"))
+    add(f"basic_window_{_how}", f"with {_ARRIVALS} select id::int id, ceil(t / 60.0)::bigint bw, round({_agg}, 8) + 0.0 v from a where t > 0 group by 1, 2")(
+        lambda spark, d, how=_how: windows.basic_windows(type_arrivals(spark, d), HOUR, how).select("id", "bw", rounded("v", 8).alias("v"))
     )
 
-_FILLED = f"{_ARRIVALS}, bw as (select id, ceil(t / 60.0)::bigint bw, sum(value) v from a where t > 0 group by 1, 2), g as (select s.id, k.bw t, coalesce(bw.v, 0) v from (select distinct id from bw) s cross join (select unnest(generate_series(1, 720)) bw) k left join bw on bw.id = s.id and bw.bw = k.bw)"
+_FILLED = f"{_ARRIVALS}, bw as (select id, ceil(t / 60.0)::bigint bw, sum(value) v from a where t > 0 group by 1, 2), g as (select s.id, k.bw t, coalesce(bw.v, 0) v from (select distinct id from bw) s cross join (select unnest(generate_series(1, (select max(bw) from bw))) bw) k left join bw on bw.id = s.id and bw.bw = k.bw)"
 
 
 def type_windows(spark, d) -> DataFrame:
-    return windows.filled_windows(windows.basic_windows(type_arrivals(spark, d), HOUR), 1, 720)
+    return windows.filled_windows(windows.basic_windows(type_arrivals(spark, d), HOUR), 1)
 
 
 @add("sliding_window_sum", f"with {_FILLED} select id::int id, t bw, count(*) over w n, round(sum(v) over w, 3) + 0.0 sx from g window w as (partition by id order by t rows between 239 preceding and current row)")

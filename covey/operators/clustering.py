@@ -1,18 +1,20 @@
 """Hierarchical leader clustering of series, and bounds between clusters.
 
-Levels are built breadth first.  A level's work is grouped by parent cluster; leaders of a parent are chosen on at
-most SAMPLE of its members, and every member then goes to its nearest leader.  Everything is seeded.
+Levels are built breadth first.  Leaders of a cluster are chosen in one small group, on at most SAMPLE of its members;
+every member then goes to its nearest leader where it stands, so no task ever holds a whole cluster.  Everything is
+seeded.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covey.functions.vectors import bound
 from covey.operators.lineage import cut
+from covey.operators.pairs import stacked
 from covey.spec import DENOMINATOR_FLOOR
 
 MOST_CHILDREN, RETRIES, SHRINK, LEVELS, SAMPLE = 10, 50, 0.8, 20, 2048
@@ -47,44 +49,64 @@ def best_leaders(x: np.ndarray, epsilon: float, most: int = MOST_CHILDREN, retri
     return best
 
 
-def _split(epsilon_first: float, seed: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id").reset_index(drop=True)
-        x = np.stack(part["x"].to_list())
-        some = np.arange(len(x)) if len(x) <= SAMPLE else np.sort(np.random.default_rng(seed).choice(len(x), SAMPLE, replace=False))
-        epsilon = epsilon_first if part["level"].iloc[0] == 0 else SHRINK * part["radius"].iloc[0]
-        lead = some[best_leaders(x[some], epsilon, seed=seed)]
-        d = angles(x, x[lead])
-        of = d.argmin(axis=1)
-        if len(np.unique(of)) == 1 and len(x) > 1:  # nothing was split (equal series): every member on its own
-            of, d = np.arange(len(x)), np.zeros((len(x), len(x)))
-            lead = np.arange(len(x))
-        medoid = part["id"].to_numpy()[lead][of]
-        near = d[np.arange(len(x)), of]
-        radius = np.array([near[of == k].max(initial=0.0) for k in range(len(lead))])[of]
-        return pd.DataFrame({"id": part["id"], "parent": part["cluster"], "cluster": [f"{c}.{m}" for c, m in zip(part["cluster"], medoid)], "level": part["level"] + 1, "radius": radius, "medoid": medoid, "size": np.bincount(of, minlength=len(lead))[of]})
+def _leader_rows(epsilon_first: float, seed: int):
+    """One row for each cluster: its leaders' ids and vectors, chosen on the sample that the group is."""
+    def run(part):
+        ids, x = np.asarray(part["id"]), stacked(part)
+        order = np.argsort(ids)
+        ids, x = ids[order], x[order]
+        epsilon = epsilon_first if part["level"][0].as_py() == 0 else SHRINK * part["radius"][0].as_py()
+        lead = best_leaders(x, epsilon, seed=seed)
+        return pa.table({"cluster": part["cluster"][:1], "medoids": pa.array([ids[lead]]), "leaders": pa.array([x[lead].ravel()])})
 
     return run
 
 
+def _nearest_rows(batches):
+    """(id, parent, level, medoid, angle, was) of members (id, cluster, level, size, x, medoids, leaders)."""
+    for batch in batches:
+        cluster = np.asarray(batch.column("cluster"))
+        x = stacked(pa.table({"x": batch.column("x")}))
+        medoid, angle = np.zeros(len(cluster), np.asarray(batch.column("id")).dtype), np.zeros(len(cluster))
+        for c in np.unique(cluster):
+            at = np.flatnonzero(cluster == c)
+            lead = np.array(batch.column("leaders")[at[0]].as_py()).reshape(-1, x.shape[1])
+            d = angles(x[at], lead)
+            of = d.argmin(axis=1)
+            medoid[at], angle[at] = np.array(batch.column("medoids")[at[0]].as_py())[of], d[np.arange(len(at)), of]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cluster"), batch.column("level"), pa.array(medoid, batch.column("id").type), pa.array(angle), batch.column("size")], ["id", "parent", "level", "medoid", "angle", "was"])
+
+
 def hierarchy(vectors: DataFrame, epsilon: float = float(np.arccos(FIRST_SHARE)), levels: int = LEVELS, seed: int = 0) -> DataFrame:
     """(id, cluster, parent, level, radius, medoid, size): every series' clusters from the root (level 0) down to itself.
 
-    The number of levels is small; members move one level at a time, so a level is one aggregation-like pass.
+    The number of levels is small; a level is a join of the members with their clusters' few leaders and an aggregation.
+    A cluster that its leaders don't split (equal series), or that is left behind ``levels``, is split into its members.
     """
     kind = vectors.schema["id"].dataType.simpleString()
     n = vectors.count()
-    at = vectors.select("id", "x", F.lit("r").alias("cluster"), F.lit(0).alias("level"), F.lit(float(np.pi)).alias("radius"), F.lit(n).alias("size"))
-    out = [at.select("id", F.lit(None).cast("string").alias("parent"), "cluster", "level", "radius", F.lit(None).cast(kind).alias("medoid"), "size")]
-    schema = f"id {kind}, parent string, cluster string, level int, radius double, medoid {kind}, size int"
-    for _ in range(levels):
-        todo = at.where("size > 1")
-        down = todo.groupBy("cluster").applyInPandas(_split(epsilon, seed), schema)
-        down = cut(down, "level")
+    root = vectors.select("id", F.lit(None).cast("string").alias("parent"), F.lit("r").alias("cluster"), F.lit(0).alias("level"), F.lit(float(np.pi)).alias("radius"), F.lit(None).cast(kind).alias("medoid"), F.lit(n).cast("long").alias("size"))
+    out, at = [root], root
+    for level in range(levels + 1):
+        todo = at.where("size > 1").select("id", "cluster", "level", "radius", "size").join(vectors.select("id", "x"), "id")
+        if level == levels:
+            down = todo.select("id", F.col("cluster").alias("parent"), (F.col("level") + 1).alias("level"), F.col("id").alias("medoid"), F.lit(0.0).alias("angle"), F.col("size").alias("was"))
+        else:
+            spread = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
+            sample = todo.withColumn("_n", F.row_number().over(spread)).where(F.col("_n") <= SAMPLE)
+            chosen = sample.groupBy("cluster").applyInArrow(_leader_rows(epsilon, seed), f"cluster string, medoids array<{kind}>, leaders array<double>")
+            near = todo.join(chosen, "cluster").select("id", "cluster", (F.col("level") + 1).alias("level"), "size", "x", "medoids", "leaders")
+            down = near.mapInArrow(_nearest_rows, f"id {kind}, parent string, level int, medoid {kind}, angle double, was long")
+        down = cut(down, "nearest")
         if not down.limit(1).count():
             break
-        out.append(down)
-        at = down.join(vectors.select("id", "x"), "id").select("id", "x", "cluster", "level", "radius", "size")
+        sizes = down.groupBy("parent", "medoid").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("radius"))
+        down = down.join(sizes, ["parent", "medoid"])
+        alone = F.col("size") == F.col("was")
+        own = F.when(alone, F.col("id")).otherwise(F.col("medoid"))
+        down = down.select("id", "parent", F.concat_ws(".", "parent", own.cast("string")).alias("cluster"), "level", F.when(alone, 0.0).otherwise(F.col("radius")).alias("radius"), own.alias("medoid"), F.when(alone, F.lit(1).cast("long")).otherwise(F.col("size")).alias("size"))
+        at = cut(down, "level")
+        out.append(at)
     result = out[0]
     for f in out[1:]:
         result = result.unionByName(f)

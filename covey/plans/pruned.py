@@ -21,7 +21,7 @@ from covey.operators.pairs import symmetric
 from covey.spec import Measure, QuerySpec
 
 
-def set_bounds(spec: QuerySpec, left: int, right: int, lo, hi) -> tuple[Column, Column]:
+def set_bounds(spec: QuerySpec, left: int, right: int, lo, hi, length_squared: float = 1.0) -> tuple[Column, Column]:
     """Bounds of a combination; lo(x, y), hi(x, y): bounds of the correlation between two slots' clusters."""
     names = M.slots(left, right)
     wl, wr = spec.weights.of("left", left), spec.weights.of("right", right)
@@ -35,7 +35,7 @@ def set_bounds(spec: QuerySpec, left: int, right: int, lo, hi) -> tuple[Column,
     for pair in (lo, hi):
         parts.append((M.cross(names[:left], wl, names[left:], wr, pair), M.own_square(names[:left], wl, pair), M.own_square(names[left:], wr, pair)))
     n, dl, dr = zip(*parts)
-    return C.pearson_bounds(n, dl, dr) if spec.measure is not Measure.EUCLIDEAN else C.euclidean_bounds(n, dl, dr)
+    return C.pearson_bounds(n, dl, dr) if spec.measure is not Measure.EUCLIDEAN else C.euclidean_bounds(n, dl, dr, length_squared)
 
 
 def _levels(tree: DataFrame) -> tuple[DataFrame, int]:

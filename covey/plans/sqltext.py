@@ -23,11 +23,22 @@ def _cross(left, wl, right, wr) -> str:
     return "(" + "+".join(f"{u * w!r}*{_r(x, y)}" for x, u in zip(left, wl) for y, w in zip(right, wr)) + ")"
 
 
+def _least_of_four(a: str, b: str, c: str, d: str, e: str, f: str) -> str:
+    """Minus the least root of the characteristic polynomial of a 4 x 4 matrix of zeros and these: Newton's steps from the left."""
+    square = "+".join(f"{x}*{x}" for x in (a, b, c, d, e, f))
+    triple = f"2*({a}*{b}*{d}+{a}*{c}*{e}+{b}*{c}*{f}+{d}*{e}*{f})"
+    whole = f"{a}*{a}*{f}*{f}+{b}*{b}*{e}*{e}+{c}*{c}*{d}*{d}-2*({a}*{b}*{e}*{f}+{a}*{c}*{d}*{f}+{b}*{c}*{d}*{e})"
+    step = f"x-(x*x*x*x-({square})*x*x-({triple})*x+({whole}))/least(4*x*x*x-2*({square})*x-({triple}),-1e-300)"
+    return f"least(greatest(-list_reduce(list_concat([-3.0::double],list_transform(range(60),lambda z: 0.0::double)),lambda x, y: {step}),-1),1)"
+
+
 def similarity(spec: QuerySpec, left: list[str], right: list[str]) -> str:
     if spec.measure is Measure.MULTIPOLE:
         names = [*left, *right]
         if len(names) == 2:
             return f"abs({_r(*names)})"
+        if len(names) == 4:
+            return _least_of_four(*(_r(x, y) for x, y in itertools.combinations(names, 2)))
         a, b, c = (_r(x, y) for x, y in itertools.combinations(names, 2))
         q = f"({a}*{a}+{b}*{b}+{c}*{c})"
         return f"(case when {q} = 0 then 0 else -2*sqrt({q}/3)*cos(acos(least(greatest({a}*{b}*{c}/pow({q}/3,1.5),-1),1))/3+2*pi()/3) end)"

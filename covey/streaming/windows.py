@@ -31,8 +31,15 @@ def basic_windows(arrivals: DataFrame, size: float, how: str = "sum") -> DataFra
     return arrivals.groupBy("id", slot(F.col("t"), size).alias("bw")).agg(aggregate_by(how).alias("v"))
 
 
-def filled_windows(windows: DataFrame, first: int, last: int, how: str = "sum") -> DataFrame:
-    """Every basic window of every series: an empty one is 0 for sums and counts, else carries the last value on."""
+def filled_windows(windows: DataFrame, first: int, last: int | None = None, how: str = "sum") -> DataFrame:
+    """Every basic window of every series from ``first`` to ``last`` (the last with an arrival if not given).
+
+    An empty one is 0 for sums and counts, else carries the last value on.
+    """
+    if last is None:
+        last = windows.agg(F.max("bw")).first()[0] or first - 1
+    if last < first:
+        return windows.limit(0)
     grid = windows.select("id").distinct().withColumn("bw", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
     both = grid.join(windows, ["id", "bw"], "left")
     if how in ("sum", "count"):
@@ -82,7 +89,10 @@ def result_delta(results: DataFrame) -> DataFrame:
 
 
 def runtime_regression(runs: DataFrame) -> DataFrame:
-    """Simple linear regression of y on x over all rows up to each: (t, slope, intercept, mean), slope 0 without variance."""
+    """Simple linear regression of y on x over all rows up to each: (t, slope, intercept, mean), slope 0 without variance.
+
+    A row is an epoch of one run, some thousand at most, so one task orders them.
+    """
     w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     n, sx, sy = F.count(F.lit(1)).over(w), F.sum("x").over(w), F.sum("y").over(w)
     sxx, sxy = F.sum(F.col("x") * F.col("x")).over(w), F.sum(F.col("x") * F.col("y")).over(w)

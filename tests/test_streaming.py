@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from covey.spec import Measure, QuerySpec
+from covey.spec import Measure, QuerySpec, QueryType
 from covey.streaming import replay, structured
 from covey.streaming import windows as W
 
@@ -91,3 +91,29 @@ def test_structured_stream_equals_batch(spark, tmp_path):
     want = {(r["id"], r["t"]): r["v"] for r in batch.groupBy("id", slot.alias("t")).agg(F.sum("value").alias("v")).collect()}
     assert closed and all(abs(want[k] - v) < 1e-9 for k, v in closed.items())
     assert out and len(out[-1][1]) == 3
+
+
+def test_incremental_work_follows_the_changes(spark):
+    """Two of twelve series change: the pairs and sets that are computed are those that hold one of them."""
+    rows = [(i, t, float((i * 7 + t * t * (i + 1)) % 11)) for i in range(12) for t in range(1, 21)] + [(i, t, 3.0 * i if i in (2, 5) else 0.0) for i in range(12) for t in (21, 22)]
+    rows = [(i, t, v if t > 2 or i in (2, 5) else 0.0) for i, t, v in rows]  # what leaves the window is zero too
+    w, spec = spark.createDataFrame(rows, "id int, bw long, v double"), QuerySpec(left=1, right=2, tau=0.3)
+    for query in (spec, QuerySpec(left=1, right=2, query=QueryType.TOPK, k=7), QuerySpec(left=1, right=2, tau=0.1, min_jump=0.05), QuerySpec(Measure.EUCLIDEAN, 2, 2, tau=0.5)):
+        one, more = replay.Replay(w, query, 20, "oneshot"), replay.Replay(w, query, 20, "incremental")
+        for e in (20, 22):
+            sets = [{(tuple(r["lhs"]), tuple(r["rhs"]), round(r["sim"], 6)) for r in run.step(e, e).collect()} for run in (one, more)]
+            assert sets[0] == sets[1] and sets[0]
+    walk = replay.Replay(w, spec, 20, "incremental")
+    walk.step(20, 20)
+    changed = walk.changed(22)
+    assert {r["id"] for r in changed.collect()} == {2, 5}
+    before = {(r["i"], r["j"]): r["rho"] for r in walk.pairs.collect()}
+    after = {(r["i"], r["j"]): r["rho"] for r in walk.updated_pairs(22, changed).collect()}
+    assert before.keys() == after.keys() == {(i, j) for i in range(12) for j in range(i + 1, 12)}
+    assert all(before[k] == after[k] for k in before if not {2, 5} & set(k))
+    walk.step(22, 22)
+    sets = walk.index.evaluate(walk.pairs, changed, 0.3)[-1][2].collect()
+    every = walk.index.evaluate(walk.pairs, None, 0.3)[-1][2].count()
+    assert sets and all({2, 5} & {r["l1"], r["r1"], r["r2"]} for r in sets) and len(sets) < every
+    report = walk.reports[-1]
+    assert report["nChanged"] == 2 and report["nArrivals"] == 4 and report["nIndexedDCCs"] > 0 and report["avgIndexedDCCSize"] >= 1
