@@ -107,14 +107,21 @@ def run_on_pairs(pairs: DataFrame, spec: QuerySpec, length_squared: float = 1.0)
 
 
 def total_correlation(series: DataFrame, spec: QuerySpec) -> DataFrame:
-    """Sum of entropies less joint entropy, for each size of the climb; subsets come from the smaller sizes' tables."""
+    """Sum of entropies less joint entropy, for each size of the climb; subsets come from the smaller sizes' tables.
+
+    Pruned: joint entropies of the full size only of sets that cluster bounds let pass.
+    """
     series = S.variance_filter(series)
     length = series.groupBy("id").count().agg(F.max("count")).first()[0] or 1
-    binned = S.binned(series)
+    binned = cut(S.binned(series), "binned")
     one = P.entropies(binned, length)
     tables: dict[int, DataFrame] = {}
     for size in range(2, spec.left + 1):
-        t = P.joint_entropies(binned, size, length)
+        if spec.strategy is Strategy.PRUNED and size == spec.left and size > 2:
+            sets = pruned.entropy_sets(cut(prepared(series, spec), "vectors"), one, P.joint_entropies(binned, 2, length), size, spec.tau)
+            t = pruned.joint_entropies_of(binned, cut(sets, "sets"), size, length)
+        else:
+            t = P.joint_entropies(binned, size, length)
         total = None
         for k in range(1, size + 1):
             t = t.join(one.select(F.col("id").alias(f"s{k}"), F.col("h").alias(f"h{k}")), f"s{k}")
@@ -149,7 +156,7 @@ def run_query(series: DataFrame, spec: QuerySpec, kernel: str | None = None) ->
         return finished(tiled.run(vectors, spec), spec)
     pairs = cut(P.correlations(vectors, kernel), "pairs")
     if spec.strategy is Strategy.PRUNED:
-        return finished(pruned.run(vectors, pairs, spec), spec)
+        return finished(pruned.run(vectors, pairs, spec, length), spec)
     return run_on_pairs(pairs, spec, length)
 
 

@@ -44,7 +44,8 @@ _ARRIVAL = StructType([StructField("t", DoubleType()), StructField("value", Doub
 
 
 def _from_file(df: DataFrame) -> DataFrame:
-    return df.withColumn("name", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", ""))
+    coded = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", "")
+    return df.withColumn("name", F.url_decode(F.replace(coded, F.lit("+"), F.lit("%2B"))))
 
 
 def arrival_folder(spark: SparkSession, folder: str, most: float | None = None, by_count: bool = False) -> DataFrame:
@@ -52,14 +53,14 @@ def arrival_folder(spark: SparkSession, folder: str, most: float | None = None,
 
     most: the largest t, or with by_count the number of arrivals of each series.
     """
-    rows = _from_file(spark.read.option("header", True).schema(_ARRIVAL).csv(folder)).select(F.url_decode("name").alias("name"), "t", "value")
+    rows = _from_file(spark.read.option("header", True).schema(_ARRIVAL).csv(folder)).select("name", "t", "value")
     if most is None:
         return rows
     if not by_count:
         return rows.where(F.col("t") <= most)
     from pyspark.sql import Window
 
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("t"))).where(F.col("_n") <= most).drop("_n")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("t", "value"))).where(F.col("_n") <= most).drop("_n")
 
 
 def arrival_stream(spark: SparkSession, folder: str, files_a_batch: int | None = None) -> DataFrame:
@@ -67,7 +68,7 @@ def arrival_stream(spark: SparkSession, folder: str, files_a_batch: int | None =
     reader = spark.readStream.option("header", True).schema(_ARRIVAL)
     if files_a_batch:
         reader = reader.option("maxFilesPerTrigger", files_a_batch)
-    return _from_file(reader.csv(folder)).select(F.url_decode("name").alias("name"), "t", "value")
+    return _from_file(reader.csv(folder)).select("name", "t", "value")
 
 
 def joined_arrivals(base: DataFrame, arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -56,6 +56,29 @@ def run_summary(spec: QuerySpec, **stats) -> dict:
     return {**flat, "weights": spec.weights.kind, **stats}
 
 
+def write_wide(series: DataFrame, path: str, by: str = "id") -> None:
+    """A CSV file whose columns are series and whose rows are times in order.
+
+    The format is one file in the order of time, so one task writes it: for tables of a width that a CSV line can hold.
+    """
+    wide = series.withColumn("_c", F.col(by).cast("string")).groupBy("t").pivot("_c").agg(F.first("v"))
+    wide.coalesce(1).sortWithinPartitions("t").drop("t").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_arrivals(arrivals: DataFrame, folder: str) -> None:
+    """A folder with one CSV (t, value) a series, called by its name (a slash in it becomes _), from (name, t, value)."""
+    spark = arrivals.sparkSession
+    named = arrivals.select(F.replace(F.col("name"), F.lit("/"), F.lit("_")).alias("name"), "t", "value").repartition("name").sortWithinPartitions("name", "t", "value")
+    named.write.mode("overwrite").partitionBy("name").option("header", True).csv(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in system.globStatus(path(f"{folder}/name=*/part-*")) or []:
+        # a folder's name is its value, escaped by Spark where a path can't hold it
+        name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(part.getPath().getParent().getName().removeprefix("name="))
+        system.rename(part.getPath(), path(folder, f"{name}.csv"))
+        system.delete(part.getPath().getParent(), True)
+
+
 def write_matrix(matrix: DataFrame, path: str) -> None:
     """Rows of an array column x as lines of comma-separated numbers."""
     matrix.select(F.concat_ws(",", F.transform("x", lambda v: v.cast("string")))).write.mode("overwrite").text(path)
