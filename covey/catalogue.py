@@ -15,6 +15,7 @@ from covey.operators import measures as M
 from covey.operators import pairs as P
 from covey.operators import prepare as R
 from covey.operators import series as S
+from covey.operators.lineage import cut
 from covey.plans import sqltext
 from covey.plans.query import run_query, with_names
 from covey.sources import readers as X
@@ -122,19 +123,23 @@ def vector_argsort(spark, d):
 # --- pairs ------------------------------------------------------------------------------------------------------------
 
 
+def _vectors(series: DataFrame, how: str = "l2norm") -> DataFrame:
+    """Normalised vectors, computed once: kernels count them and read them on both sides."""
+    return cut(S.normalise(S.varying(S.to_vectors(series)), how), "vectors")
+
+
 def _nation_vectors(spark, d, how="l2norm"):
-    return S.normalise(S.to_vectors(S.variance_filter(X.nation_months(spark, d))), how)
+    return _vectors(X.nation_months(spark, d), how)
 
 
 @add("pearson_pairs_supp_month", f"with {SUPPLIERS}{PAIRS} select i, j, round(r, 4) + 0.0 rho from p where i < j")
 def pearson_pairs_supp_month(spark, d):
-    v = S.normalise(S.to_vectors(S.variance_filter(X.supplier_months(spark, d))))
-    return P.correlations(v).select("i", "j", rounded("rho").alias("rho"))
+    return P.correlations(_vectors(X.supplier_months(spark, d))).select("i", "j", rounded("rho").alias("rho"))
 
 
 @add("pearson_pairs_emb", f"with {EMBEDDED}{PAIRS.replace('a.id <> b.id', 'a.id < b.id')} select i, j, round(r, 4) + 0.0 rho from p")
 def pearson_pairs_emb(spark, d):
-    return P.correlations(S.normalise(X.embedding_vectors(spark, d))).select("i", "j", rounded("rho").alias("rho"))
+    return P.correlations(cut(S.normalise(X.embedding_vectors(spark, d)), "vectors")).select("i", "j", rounded("rho").alias("rho"))
 
 
 @add("pearson_pairs_block", f"with {NATIONS}{PAIRS} select i, j, round(r, 4) + 0.0 rho from p where i < j")

@@ -171,3 +171,57 @@ def weather_file(spark, d):
     lines = head.select("id", "k", "line", "t").unionByName(names).unionByName(records)
     lines.coalesce(1).sortWithinPartitions("id", "k", F.col("t").asc_nulls_first()).select("line").write.text(path)
     return X.weather_file(spark, f"{path}/part-*", "slp").select(F.regexp_extract("name", r"(\d+)", 1).cast("int").alias("id"), "name", "t", rounded("v", 6).alias("v"))
+
+
+# --- scans and fetched files ----------------------------------------------------------------------------------------------
+
+
+@add("scan_voxels", "select (c_custkey % 7)::int x, (c_custkey // 7 % 5)::int y, (c_custkey // 35 % 3)::int z, 0 t, round(sum(c_acctbal), 6) + 0.0 v from customer group by 1, 2, 3")
+def scan_voxels(spark, d):
+    """A volume of customers' balances as a NIfTI scan, and back."""
+    from covey.sources.scans import nifti_voxels, pack_nifti
+
+    folder = shared_path(spark, "scans")
+    c = F.col("c_custkey")
+    cells = X.table(spark, d, "customer").groupBy((c % 7).alias("x"), (F.floor(c / 7) % 5).alias("y"), (F.floor(c / 35) % 3).alias("z")).agg(F.sum("c_acctbal").alias("v"))
+
+    def write(part):  # 105 cells
+        import numpy as np
+        from pyarrow import fs
+
+        volume = np.zeros((7, 5, 3, 1))
+        volume[np.asarray(part["x"]), np.asarray(part["y"]), np.asarray(part["z"]), 0] = np.asarray(part["v"])
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/customers.nii", compression=None) as f:
+            f.write(pack_nifti(volume))
+        return pa.table({"n": [part.num_rows]})
+
+    cells.groupBy(F.lit(1).alias("all")).applyInArrow(write, "n long").collect()
+    return nifti_voxels(spark, f"{folder}/*.nii").select("x", "y", "z", "t", rounded("v", 6).alias("v")).where("v <> 0")
+
+
+@add("fetched_files", "select n_name || '.txt.gz' \"file\", false first, true again, n_name line from nation where n_nationkey < 5")
+def fetched_files(spark, d):
+    """Files fetched from addresses (of this machine here), and found there the second time."""
+    from covey.sources.scans import fetched
+
+    source, folder = shared_path(spark, "fetch-from"), shared_path(spark, "fetch-to")
+
+    def write(part):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(source)
+        system.create_dir(root, recursive=True)
+        for name in part["n_name"].to_pylist():
+            with system.open_output_stream(f"{root}/{name}.txt", compression=None) as f:
+                f.write(name.encode())
+        return pa.table({"address": [f"{source}/{name}.txt" for name in part["n_name"].to_pylist()]})
+
+    from covey.operators.lineage import cut
+
+    addresses = cut(X.table(spark, d, "nation").where("n_nationkey < 5").groupBy("n_nationkey").applyInArrow(write, "address string"), "addresses")
+    first, again = (cut(fetched(addresses, folder), "fetched") for _ in range(2))
+    lines = spark.read.text(f"{folder}/*.gz").select(F.col("value").alias("line"), F.concat("value", F.lit(".txt.gz")).alias("file"))
+    rows = first.join(again.select("address", F.col("cached").alias("again")), "address").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("cached").alias("first"), "again")
+    return rows.join(lines, "file").select("file", "first", "again", "line")

@@ -92,6 +92,18 @@ set_query("pruned_mp_3", "nation", QuerySpec(Measure.MULTIPOLE, 3, 0, tau=0.33,
 set_query("pruned_es_1_2", "nation", QuerySpec(Measure.EUCLIDEAN, 1, 2, tau=0.48, strategy=Strategy.PRUNED, max_only=True), QuerySpec(Measure.EUCLIDEAN, 1, 2, tau=0.48, max_only=True))
 
 
+@add("pruned_progressive", f"with {NATIONS}{PAIRS}, q as ({sqltext.pattern(QuerySpec(left=1, right=2, tau=0.2), 1, 2)}) select 30::bigint n, 30::bigint found from (select count(*) c from q) where c >= 30")
+def pruned_progressive(spark, d):
+    """Any thirty sets that pass, from bounds shrunk by half first: how many, and how many of them the full query has."""
+    from covey.operators.lineage import cut
+
+    spec = QuerySpec(left=1, right=2, tau=0.2, query=QueryType.PROGRESSIVE, k=30, strategy=Strategy.PRUNED, max_only=True, shrink=0.5)
+    some = cut(run_query(X.nation_months(spark, d), spec), "some")
+    every = run_query(X.nation_months(spark, d), QuerySpec(left=1, right=2, tau=0.2, max_only=True)).select("lhs", "rhs")
+    found = some.join(every, ["lhs", "rhs"], "left_semi").agg(F.count(F.lit(1)).alias("found"))
+    return some.agg(F.count(F.lit(1)).alias("n")).join(found)
+
+
 @add("pruned_tc_3", SQL["tc_3_irreducible"])
 def pruned_tc_3(spark, d):
     from covey.catalogue import shown

@@ -29,6 +29,14 @@ def variance_filter(series: DataFrame, least_std: float = LEAST_STD) -> DataFram
     return series.join(good, "id", "left_semi")
 
 
+def varying(vectors: DataFrame, least_std: float = LEAST_STD) -> DataFrame:
+    """The same rule on vectors(id, x), in the pass that makes them."""
+    x = F.col("x")
+    spread = F.aggregate(F.array(V.avg(x)), F.lit(0.0), lambda _, m: V.total(F.transform(x, lambda v: (v - m) * (v - m))))
+    sound = ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
+    return vectors.where(sound & (F.array_max(x) > F.array_min(x)) & (F.sqrt(spread / F.size(x)) >= least_std))
+
+
 def to_vectors(series: DataFrame) -> DataFrame:
     """vectors(id[, name], x): values in the order of t.  A group is one series, bounded by its points."""
     name = [F.min("name").alias("name")] if "name" in series.columns else []
@@ -43,8 +51,9 @@ def to_series(vectors: DataFrame) -> DataFrame:
 
 def normalise(vectors: DataFrame, how: str = "l2norm") -> DataFrame:
     """x as it enters a measure: l2norm, znorm, unit, discretise or rank (then l2norm)."""
-    forms = {"l2norm": V.l2norm, "znorm": V.znorm, "unit": V.unit, "rank": lambda x: V.l2norm(V.ranks(x)), "discretise": discretised}
-    # a global transform computes each array once; a sort-free projection would repeat it in every use
+    forms = {"l2norm": V.l2norm, "znorm": V.znorm, "unit": V.unit, "rank": V.l2norm, "discretise": discretised}
+    if how == "rank":  # a column of its own: within the norm's expression ranks would be computed again for every use
+        vectors = vectors.withColumn("x", V.ranks(F.col("x")))
     return vectors.withColumn("x", forms[how](F.col("x"))).where("x is not null")
 
 

@@ -9,6 +9,7 @@ number of rounds is the number of levels.  Results equal those of the exhaustive
 from __future__ import annotations
 
 import itertools
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -109,7 +110,11 @@ def survivors(both: DataFrame, steps: DataFrame, deepest: int, names: list[str],
 def pattern(pairs: DataFrame, steps: DataFrame, deepest: int, spec: QuerySpec, left: int, right: int, least: float, length_squared: float = 1.0) -> DataFrame:
     names = M.slots(left, right)
     both = symmetric(pairs)
-    alive = survivors(both, steps, deepest, names, lambda at: set_bounds(spec, left, right, at("lo"), at("hi"), length_squared)[1], least)
+    def upper(at) -> Column:
+        lo, hi = set_bounds(spec, left, right, at("lo"), at("hi"), length_squared)
+        return hi if spec.shrink == 1 else lo + (hi - lo) * spec.shrink
+
+    alive = survivors(both, steps, deepest, names, upper, least)
     for x, y in ordering(spec, left, right):
         alive = alive.where(F.col(x) < F.col(y))
     for x, y in itertools.combinations(names, 2):
@@ -155,11 +160,23 @@ def run(vectors: DataFrame, pairs: DataFrame, spec: QuerySpec, length_squared: f
     steps = cut(steps, "steps")
     least = seed(pairs, spec, length_squared)
     least = spec.tau if least is None else max(spec.tau, least)
-    out = None
-    for left, right in spec.patterns():
+
+    def passed(spec: QuerySpec) -> DataFrame:
+        out = None
+        for left, right in spec.patterns():
+            found = _results(left, right, spec)
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    def _results(left: int, right: int, spec: QuerySpec) -> DataFrame:
         names = M.slots(left, right)
         found = pattern(pairs, steps, deepest, spec, left, right, least, length_squared).withColumn("sim", M.similarity(spec, names[:left], names[left:], M.pair_column, length_squared))
         sub = M.subset_max(spec, left, right, M.pair_column, length_squared) if spec.irreducible or spec.min_jump > 0 else None
-        found = pack(constrained(found, spec, left, right, sub), left, right, "sim")
-        out = found if out is None else out.unionByName(found)
-    return out
+        return pack(constrained(found, spec, left, right, sub), left, right, "sim")
+
+    if spec.shrink < 1:
+        # any k will do: combinations that only just might pass are postponed, and looked at if the others don't give k
+        first = cut(passed(spec), "first")
+        if first.count() >= spec.k:
+            return first
+    return passed(replace(spec, shrink=1.0))

@@ -25,7 +25,7 @@ SEED_FROM = 20_000  # pairs from which a bound of the k best is worth a pass of
 def prepared(series: DataFrame, spec: QuerySpec) -> DataFrame:
     """vectors(id, x) as the measure needs them."""
     how = "rank" if spec.measure is Measure.SPEARMAN else "l2norm"
-    return S.normalise(S.to_vectors(S.variance_filter(series)).select("id", "x"), how)
+    return S.normalise(S.varying(S.to_vectors(series)).select("id", "x"), how)
 
 
 def points(spec: QuerySpec, vectors: DataFrame) -> float:

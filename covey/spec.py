@@ -129,6 +129,7 @@ class QuerySpec:
     subset_scope: str = "cross"  # or "all_pairs": pairs within a side count as subsets too
     strategy: Strategy = Strategy.AUTO
     max_only: bool = False  # the full pattern alone, without the climb
+    shrink: float = 1.0  # of a progressive query with pruning: part of a bound's width that the first pass counts
 
     def normalised(self) -> QuerySpec:
         """The query as it runs: sides of one-sided measures joined, defaults and exclusions applied."""
@@ -143,6 +144,10 @@ class QuerySpec:
             raise ValueError("a two-sided measure needs a right side")
         if q.min_jump < 0:
             q = replace(q, irreducible=True, min_jump=0.0)
+        if not 0 < q.shrink <= 1:
+            raise ValueError("shrink lies above 0, up to 1")
+        if q.query is not QueryType.PROGRESSIVE:
+            q = replace(q, shrink=1.0)
         if q.query is QueryType.THRESHOLD:
             q = replace(q, k=0)
         if q.query is QueryType.TOPK:
