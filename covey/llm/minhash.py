@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from covey.llm.common import Grams, Scratch, blocks, bounded_partitions, mix, open_texts, packed, text_bytes, text_key, unpack, word_hashes
+from covey.llm.common import Grams, Scratch, blocks, bounded_partitions, mix, open_texts, packed, text_bytes, text_key, trimmed, unpack, word_hashes
 from covey.llm.components import Forest, connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -102,7 +102,7 @@ def _add_up(table: pa.Table) -> pa.Table:
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency by cell, from every document of ``docs``."""
     schema = StructType([StructField("block", IntegerType()), StructField("lane", IntegerType()), StructField("counts", BinaryType())])
-    parts = docs.select("text").mapInArrow(_count_cells, schema)
+    parts = docs.select("text").mapInArrow(trimmed(_count_cells), schema)
     total = parts.groupBy("block", "lane").applyInArrow(_add_up, schema).groupBy("block").applyInArrow(_add_up, schema)
     found = {r["block"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in total.select("block", "counts").collect()}
     if not found:
@@ -187,7 +187,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(at)), pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), lists], ["doc_id", "h1", "h2", "bands"])
 
     schema = StructType([docs.schema["doc_id"], StructField("h1", LongType()), StructField("h2", LongType()), StructField("bands", ArrayType(LongType()))])
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sign, schema)
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(trimmed(sign), schema)
 
 
 def weighted_sets(texts: list[bytes], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
 
     of_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = of_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(check, StructType([both.schema["a"], both.schema["b"], StructField("sim", DoubleType())]))
+    return both.mapInArrow(trimmed(check), StructType([both.schema["a"], both.schema["b"], StructField("sim", DoubleType())]))
 
 
 def tile_forest(left: list[tuple], right: list[tuple], threshold: float) -> list[tuple[int, int]]:
@@ -332,7 +332,7 @@ def _rest_of_buckets(members: DataFrame, links: DataFrame, texts: DataFrame, idf
     n = bounded_partitions(tiles.sparkSession)
     tiles = tiles.repartition(n, "bucket", "f", "a").sortWithinPartitions("bucket", "f", "a")
     kind = tiles.schema["head"].dataType
-    return scratch.table(tiles.mapInArrow(_tile_rows(idf, threshold), StructType([StructField("a", kind), StructField("b", kind)])), "rest")
+    return scratch.table(tiles.mapInArrow(trimmed(_tile_rows(idf, threshold)), StructType([StructField("a", kind), StructField("b", kind)])), "rest")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

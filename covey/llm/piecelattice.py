@@ -59,7 +59,7 @@ class Pieces:
     """One model with what encoding by chunks needs; ``of`` keeps one for each model and process."""
 
     made: dict[bytes, Pieces] = {}
-    MOST_CACHED = 250_000
+    MOST_WORDS, MOST_WALKED, MOST_PAIRS = 60_000, 60_000, 120_000  # remembered by a worker: some 50 MB
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -101,6 +101,11 @@ class Pieces:
             cls.made[key] = cls(model)
         return cls.made[key]
 
+    def forget(self) -> None:
+        """Drops what walks have remembered, at the end of a task over giant documents."""
+        self.walked.clear()
+        self.pairs.clear()
+
     # --- merges ---------------------------------------------------------------------------------------------------
 
     def merge(self, text: str) -> list[str]:
@@ -125,7 +130,7 @@ class Pieces:
             return True
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > self.MOST_PAIRS:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return found
@@ -146,7 +151,7 @@ class Pieces:
             ids = words.get(w)
             if ids is None:
                 ids = np.array(lib.encode(w), np.int32).tobytes()
-                if len(words) < self.MOST_CACHED and len(w) < 64:
+                if len(words) < self.MOST_WORDS and len(w) < 64:
                     words[w] = ids
             out.append(ids)
         if spaces:
@@ -204,7 +209,7 @@ class Pieces:
         n = len(text)
         parts, score = self._only_path(text) if self.kind == BPE else self._best_path(text)
         found = (np.array([i for x in parts for i in self.ids_of(x)], np.int32).tobytes(), score)
-        if len(self.walked) < self.MOST_CACHED and n < 64:
+        if len(self.walked) < self.MOST_WALKED and n < 64:
             self.walked[text] = found
         return found
 

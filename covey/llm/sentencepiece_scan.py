@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from covey.llm.common import Scratch, bounded_partitions, text_key
+from covey.llm.common import Scratch, bounded_partitions, text_key, trimmed
 from covey.llm.piecelattice import MARK, NEVER, Chunk, Pieces, multiply
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -87,6 +87,7 @@ def _matrix_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Record
     for batch in batches:
         found = [_chunk(pieces, r).matrix() for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *packed_matrices(found)], ["doc_id", "key", "chunk", "states", "matrix"])
+    pieces.forget()
 
 
 def packed_matrices(found: list[np.ndarray]) -> list[pa.Array]:
@@ -169,6 +170,7 @@ def _trace_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordB
         rows = batch.to_pylist()
         ids = [_chunk(pieces, r).ids(r["before"], r["after"]) for r in rows]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("chunk"), id_lists(ids)], ["doc_id", "key", "chunk", "ids"])
+    pieces.forget()
 
 
 def decode_rows(rows: DataFrame, model_file: str = MODEL_FILE, ids: str = "token_ids", to: str = "text") -> DataFrame:
@@ -192,14 +194,14 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL_FILE, giant: int =
     id_field = docs.schema["doc_id"]
     added = [StructField("token_ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]
     long = F.coalesce(F.length("text"), F.lit(0)) > giant
-    small = docs.where(~long).select("text", "doc_id").mapInArrow(lambda b: _encode_rows(b, model), StructType([id_field, *added]))
+    small = docs.where(~long).select("text", "doc_id").mapInArrow(trimmed(lambda b: _encode_rows(b, model)), StructType([id_field, *added]))
     head = [StructField("doc_id", id_field.dataType), StructField("key", LongType()), StructField("chunk", LongType())]
     large = docs.where(long).select("text", "doc_id", text_key().alias("key"))
-    parts = large.dropDuplicates(["doc_id", "key"]).mapInArrow(lambda b: _split_rows(b, model, chunk), StructType([*head, StructField("chunks", LongType()), StructField("lo", IntegerType()), StructField("hi", IntegerType()), StructField("text", StringType())]))
+    parts = large.dropDuplicates(["doc_id", "key"]).mapInArrow(trimmed(lambda b: _split_rows(b, model, chunk)), StructType([*head, StructField("chunks", LongType()), StructField("lo", IntegerType()), StructField("hi", IntegerType()), StructField("text", StringType())]))
     parts = scratch.table(parts.repartition(bounded_partitions(spark), "doc_id", "key", "chunk"), "chunks")
-    matrices = parts.mapInArrow(lambda b: _matrix_rows(b, model), StructType([*head, StructField("states", IntegerType()), StructField("matrix", BinaryType())]))
+    matrices = parts.mapInArrow(trimmed(lambda b: _matrix_rows(b, model)), StructType([*head, StructField("states", IntegerType()), StructField("matrix", BinaryType())]))
     ready = _matching(parts, chosen_states(scratch.table(matrices, "matrices"), scratch, fan), "doc_id", "key", "chunk")
-    traced = ready.mapInArrow(lambda b: _trace_rows(b, model), StructType([*head, StructField("ids", ArrayType(IntegerType()))]))
+    traced = ready.mapInArrow(trimmed(lambda b: _trace_rows(b, model)), StructType([*head, StructField("ids", ArrayType(IntegerType()))]))
     whole = traced.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("all")).select("doc_id", "key", F.flatten("all.ids").alias("token_ids"))
     joined = _matching(large, whole, "doc_id", "key").select("doc_id", "token_ids", F.col("text").alias("original"))
     checked = decode_rows(joined, model_file).select("doc_id", "token_ids", (F.col("text") == F.col("original")).alias("round_trip"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from covey.llm.common import Grams, Scratch, blocks, packed, text_bytes, text_key, unpack, word_hashes
+from covey.llm.common import Grams, Scratch, blocks, packed, text_bytes, text_key, trimmed, unpack, word_hashes
 
 WINDOW = 35
 SEED = 8
@@ -145,7 +145,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     added = ["n_words", "n_removed", "kept_text", "repeats"]
     keyed = docs.select("doc_id", text_key().alias("key"), "text")
     run = [StructField("doc_id", id_type), StructField("key", LongType()), StructField("start", IntegerType()), StructField("n", IntegerType())]
-    anchors = keyed.mapInArrow(lambda b: _anchor_rows(b, window, seed), StructType([StructField("seed", LongType()), StructField("context", LongType()), *run]))
+    anchors = keyed.mapInArrow(trimmed(lambda b: _anchor_rows(b, window, seed)), StructType([StructField("seed", LongType()), StructField("context", LongType()), *run]))
 
     seeds = scratch.table(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("c"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("c > 1").select("seed", (F.col("lo") != F.col("hi")).alias("mixed")), "seeds")
     shared = scratch.table(anchors.join(seeds, "seed"), "shared")
@@ -161,7 +161,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     # copies of a row would repeat its windows: one row stands for equal texts of an id
     read = lists.join(texts, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("key") == F.col("_key")))
     windows = read.select("doc_id", "key", "text", "items").mapInArrow(
-        lambda b: _window_rows(b, window), StructType([StructField("seed", LongType()), StructField("gram", LongType()), *run[:3], StructField("single", BooleanType())])
+        trimmed(lambda b: _window_rows(b, window)), StructType([StructField("seed", LongType()), StructField("gram", LongType()), *run[:3], StructField("single", BooleanType())])
     )
     windows = scratch.table(windows, "windows")
     # a window of a context repeats if another context of the seed has it; copies of the row itself share their place
@@ -177,7 +177,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         StructField("repeats", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))),
     ])
     arrow = to_arrow_schema(schema)
-    out = joined.mapInArrow(lambda b: _kept_rows(b, window, arrow), schema)
+    out = joined.mapInArrow(trimmed(lambda b: _kept_rows(b, window, arrow)), schema)
     out = out.select("_row.*", "n_words", "n_removed", F.col("_kept").cast(StringType()).alias("kept_text"), "repeats")
     return scratch.finish(out, "substring-kept")
 

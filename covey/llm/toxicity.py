@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from covey.llm.boosting import Boosted, isotonic
-from covey.llm.common import BASE, BYTE_CODE, LOWER, blocks, inverse, mix, powers, spans, text_bytes
+from covey.llm.common import BASE, BYTE_CODE, LOWER, blocks, inverse, mix, powers, spans, text_bytes, trimmed
 from covey.llm.common import _pieces as pieces
 
 SAMPLE = 16_000
@@ -246,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rate = (n_pos + 0.5) / (n_pos + n_neg + 1)
     if not n_pos or not n_neg:
         return Model(None, None, None, rate)
-    counts = ours.mapInArrow(_term_rows, schema).groupBy("kind", "term").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("toxic", "clean")])
+    counts = ours.mapInArrow(trimmed(_term_rows), schema).groupBy("kind", "term").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("toxic", "clean")])
     least = max(4, int(np.ceil(LEAST_SHARE * n_pos * (1 - 1.0 / FOLDS))))
     likely = sum(F.col(f"toxic{f}") for f in range(FOLDS))
     other = sum(F.col(f"clean{f}") for f in range(FOLDS))
@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 x = each[fold[i:j], np.arange(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], ["fold", "toxic", "x"])
 
-    table = ours.mapInArrow(rows, StructType([StructField("fold", IntegerType()), StructField("toxic", IntegerType()), StructField("x", ArrayType(DoubleType()))])).toArrow()
+    table = ours.mapInArrow(trimmed(rows), StructType([StructField("fold", IntegerType()), StructField("toxic", IntegerType()), StructField("x", ArrayType(DoubleType()))])).toArrow()
     x = np.asarray(table["x"].combine_chunks().flatten() if table.num_rows else np.zeros(0)).reshape(-1, len(FEATURES))
     y, fold = np.asarray(table["toxic"]), np.asarray(table["fold"])
     order = np.lexsort((*x.T[::-1], y, fold))  # rows come in any order; trees must not depend on it
@@ -295,7 +295,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(score) if score else np.zeros(0))], [*batch.schema.names, "score"])
 
     rows = docs.select("text", *rest, held_out().alias("held_out"))
-    out = rows.mapInArrow(scored, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    out = rows.mapInArrow(trimmed(scored), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
