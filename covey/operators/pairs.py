@@ -7,6 +7,7 @@ Three kernels give the same correlations: ``hof`` (array functions in codegen),
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from covey.functions import vectors as V
 from covey.operators import series as S
 
 HOF_WORK = 1e6  # products up to which the array kernel is used
-BLOCK = 512  # series in a block: a task holds two blocks and one tile of products
+BLOCK = 512  # series on one side of a tile of products
+SENT = 32 << 20  # bytes of vectors in a block: a task holds two blocks and one tile of products
 JOIN_BLOCK = 64  # series on one side of a block of the pair join
 
 
@@ -26,6 +28,11 @@ def numbered_blocks(n: int, size: int, tasks: int) -> int:
     return max(1, math.ceil(n / size), min(math.ceil(n / 16), math.ceil(math.sqrt(2 * tasks))))
 
 
+def sendable(points: int) -> int:
+    """Vectors of that many points in a block of ``SENT`` bytes, so that every vector is sent to few tasks."""
+    return max(BLOCK, SENT // (8 * points + 32))
+
+
 def cores(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
@@ -75,25 +82,53 @@ def stacked(table: pa.Table, column: str = "x") -> np.ndarray:
     return np.asarray(lists.flatten()).reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
 
 
-def _block_correlations(vectors: DataFrame) -> DataFrame:
-    """Tiles of two blocks: one matrix product each; the number of blocks follows the series and the cores."""
-    m = numbered_blocks(vectors.count(), BLOCK, cores(vectors))
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlations of the rows of two blocks; those of equal series are 1 wherever they stand in a block."""
+    r = np.clip(a @ b.T, -1, 1)
+    r[r > 1 - 1e-14] = 1.0
+    return r
+
+
+def _block_correlations(vectors: DataFrame, least: float = -2.0, k: int = 0) -> DataFrame:
+    """Tiles of two blocks; the number of blocks follows the bytes of the vectors and the cores.
+
+    Pairs leave a task tile by tile: all with rho >= least, or of those the k best of the task, ties by ids.
+    """
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("m")).first()
+    m = numbered_blocks(size["n"], sendable(size["m"] or 0), 4 * cores(vectors))
     placed = vectors.select("id", "x", F.pmod(F.hash("id"), F.lit(m)).alias("own"))
     sent = placed.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("bi", F.least("own", "to")).withColumn("bj", F.greatest("own", "to")).drop("to")
 
-    def tile(key, part):
-        bi, bj = key[0].as_py(), key[1].as_py()
+    def tiles_of(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, bi, bj = pa.Table.from_batches(list(batches)), key[0].as_py(), key[1].as_py()
         own, ids, x = np.asarray(part["own"]), np.asarray(part["id"]), stacked(part)
         a, b = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
-        r = np.clip(x[a] @ x[b].T, -1, 1)
-        less = ids[a][:, None] < ids[b][None, :]
-        p, q = np.nonzero(less if bi == bj else np.ones_like(less))
-        i, j = ids[a][p], ids[b][q]
-        return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "rho": r[p, q]})
+        batch = lambda i, j, rho: pa.RecordBatch.from_pydict({"i": i, "j": j, "rho": rho})
+        best, bar = [], least
+        for s in range(0, len(a), BLOCK):
+            for t in range(s if bi == bj else 0, len(b), BLOCK):
+                p_at, q_at = a[s : s + BLOCK], b[t : t + BLOCK]
+                r = products(x[p_at], x[q_at])
+                wanted = r >= bar
+                if bi == bj and s == t:
+                    wanted &= np.tri(*r.shape, -1, dtype=bool)
+                p, q = np.nonzero(wanted)
+                i, j = ids[p_at[p]], ids[q_at[q]]
+                i, j, rho = np.minimum(i, j), np.maximum(i, j), r[p, q]
+                if not k:
+                    yield batch(i, j, rho)
+                    continue
+                best.append((i, j, rho))
+                i, j, rho = (np.concatenate(v) for v in zip(*best))
+                first = np.lexsort((j, i, -rho))[:k]
+                best = [(i[first], j[first], rho[first])]
+                if len(first) == k:
+                    bar = max(least, rho[first[-1]])
+        yield from (batch(*v) for v in best)
 
     kind = vectors.schema["id"].dataType.simpleString()
     tiles = sent.repartition(m * (m + 1) // 2, "bi", "bj").groupBy("bi", "bj")
-    return tiles.applyInArrow(tile, f"i {kind}, j {kind}, rho double")
+    return tiles.applyInArrow(tiles_of, f"i {kind}, j {kind}, rho double")
 
 
 def symmetric(pairs: DataFrame, value: str = "rho") -> DataFrame:
