@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from covey.operators import pairs as P
+from covey.plans import tiled
+from covey.plans.query import run_on_pairs
+from covey.spec import QuerySpec
 
 
 def tasks(df):
@@ -42,3 +45,25 @@ def test_small_tiles_hold_every_pair(monkeypatch, copied):
     assert high.keys() == {k for k, r in got.items() if r >= 0.4}
     best = sorted(of(P._block_correlations(copied, k=30)).items(), key=lambda v: (-v[1], v[0]))[:30]
     assert best == sorted(got.items(), key=lambda v: (-v[1], v[0]))[:30]
+
+
+SPECS = {
+    "pc_1_2": QuerySpec(left=1, right=2, tau=0.4, max_only=True),
+}
+
+
+@pytest.mark.parametrize("name", SPECS)
+def test_triples_are_sent_to_few_tasks(many, name):
+    m = P.cores(many)
+    assert tasks(tiled.run(many, SPECS[name])) <= 40 * m
+
+
+@pytest.mark.parametrize("name", SPECS)
+def test_copies_are_expanded(monkeypatch, copied, name):
+    """Small tiles, batches and groups of copies, against joins over every series."""
+    monkeypatch.setattr(tiled, "BLOCK", 8)
+    monkeypatch.setattr(tiled, "ROWS", 500)
+    monkeypatch.setattr(tiled, "COPIES", 3)
+    of = lambda df: {(tuple(r["lhs"]), tuple(r["rhs"])): r["sim"] for r in df.collect()}
+    rows, got = of(run_on_pairs(P.correlations(copied, "hof"), SPECS[name])), of(tiled.run(copied, SPECS[name]))
+    assert rows.keys() == got.keys() and all(abs(rows[k] - got[k]) < 1e-9 for k in rows)
