@@ -28,7 +28,7 @@ COPIES = 1024  # equal vectors that stand as one
 
 def suits(spec: QuerySpec) -> bool:
     w = spec.weights.of("right", 2) if (spec.left, spec.right) == (1, 2) else (0, 1)
-    return spec.measure in (Measure.PEARSON, Measure.SPEARMAN) and w[0] == w[1] and spec.subset_scope == "cross" and spec.query is not QueryType.TOPK
+    return spec.measure in (Measure.PEARSON, Measure.SPEARMAN) and w[0] == w[1] and spec.subset_scope == "cross"
 
 
 def _expanded(found, ids: np.ndarray, first: np.ndarray, size: np.ndarray, spots: int) -> Iterator[tuple]:

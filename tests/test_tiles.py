@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from covey.operators import pairs as P
+from covey.operators import series as S
 from covey.plans import tiled
 from covey.plans.query import run_on_pairs
-from covey.spec import QuerySpec
+from covey.spec import QuerySpec, QueryType
 
 
 def tasks(df):
@@ -67,3 +68,15 @@ def test_copies_are_expanded(monkeypatch, copied, name):
     of = lambda df: {(tuple(r["lhs"]), tuple(r["rhs"])): r["sim"] for r in df.collect()}
     rows, got = of(run_on_pairs(P.correlations(copied, "hof"), SPECS[name])), of(tiled.run(copied, SPECS[name]))
     assert rows.keys() == got.keys() and all(abs(rows[k] - got[k]) < 1e-9 for k in rows)
+
+
+@pytest.mark.parametrize("k", [20, 2000])
+def test_topk_seeded_by_tiles(monkeypatch, copied, k):
+    from covey.plans import query
+
+    monkeypatch.setattr(query, "TILED_FROM", 30)
+    spec = QuerySpec(left=1, right=2, query=QueryType.TOPK, k=k)
+    found = query.run_query(S.to_series(copied), spec)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = [round(r["sim"], 9) for r in query.run_on_pairs(P.correlations(copied, "hof"), spec).collect()]
+    assert [round(r["sim"], 9) for r in found.collect()] == want and len(want) == k
