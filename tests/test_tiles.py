@@ -50,6 +50,7 @@ def test_small_tiles_hold_every_pair(monkeypatch, copied):
 
 SPECS = {
     "pc_1_2": QuerySpec(left=1, right=2, tau=0.4, max_only=True),
+    "pc_1_2_irreducible": QuerySpec(left=1, right=2, tau=0.36, irreducible=True, max_only=True),
 }
 
 
