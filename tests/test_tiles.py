@@ -52,6 +52,7 @@ SPECS = {
     "pc_1_2": QuerySpec(left=1, right=2, tau=0.4, max_only=True),
     "pc_1_2_irreducible": QuerySpec(left=1, right=2, tau=0.36, irreducible=True, max_only=True),
     "pc_1_2_minjump": QuerySpec(left=1, right=2, tau=0.35, min_jump=0.05, max_only=True),
+    "climb_1_2": QuerySpec(left=1, right=2, tau=0.38),
 }
 
 
