@@ -8,7 +8,7 @@ from covey.operators import pairs as P
 from covey.operators import series as S
 from covey.plans import tiled
 from covey.plans.query import run_on_pairs
-from covey.spec import QuerySpec, QueryType, Weights
+from covey.spec import QuerySpec, QueryType, Strategy, Weights
 
 
 def tasks(df):
@@ -54,6 +54,7 @@ SPECS = {
     "pc_1_2_minjump": QuerySpec(left=1, right=2, tau=0.35, min_jump=0.05, max_only=True),
     "climb_1_2": QuerySpec(left=1, right=2, tau=0.38),
     "pc_1_2_sum_weights": QuerySpec(left=1, right=2, tau=0.4, weights=Weights("sum"), max_only=True),
+    "tiled_pc_1_2": QuerySpec(left=1, right=2, tau=0.4, strategy=Strategy.TILED),
 }
 
 
