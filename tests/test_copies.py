@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 COPIES = 4  # 400 suppliers
 NAMES = [
     "pc_1_2_irreducible",
+    "pc_1_2_minjump",
 ]
 
 
