@@ -9,6 +9,7 @@ COPIES = 4  # 400 suppliers
 NAMES = [
     "pc_1_2_irreducible",
     "pc_1_2_minjump",
+    "climb_1_2",
 ]
 
 
