@@ -10,6 +10,7 @@ NAMES = [
     "pc_1_2_irreducible",
     "pc_1_2_minjump",
     "climb_1_2",
+    "pc_1_2_sum_weights",
 ]
 
 
