@@ -21,6 +21,7 @@ HOF_WORK = 1e6  # products up to which the array kernel is used
 BLOCK = 512  # series on one side of a tile of products
 SENT = 32 << 20  # bytes of vectors in a block: a task holds two blocks and one tile of products
 JOIN_BLOCK = 64  # series on one side of a block of the pair join
+UNITS = 1 << 52  # terms of an entropy are summed as whole numbers of this part
 
 
 def numbered_blocks(n: int, size: int, tasks: int) -> int:
@@ -136,10 +137,15 @@ def symmetric(pairs: DataFrame, value: str = "rho") -> DataFrame:
     return pairs.select("i", "j", value).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), value))
 
 
+def entropy_of_counts(points: int | Column) -> Column:
+    """Entropy of the counts n of a group: the same double for the same counts, in whatever order they are added."""
+    p = F.col("n") / points
+    return (-F.sum(F.rint(p * F.log(p) * UNITS).cast("long")) / F.lit(float(UNITS))).alias("h")
+
+
 def entropies(binned: DataFrame, points: int | Column) -> DataFrame:
     """(id, h): natural-log entropy of each series' bins."""
-    p = F.col("n") / points
-    return binned.groupBy("id", "bin").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg((-F.sum(p * F.log(p))).alias("h"))
+    return binned.groupBy("id", "bin").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(entropy_of_counts(points))
 
 
 def joint_entropies(binned: DataFrame, size: int, points: int | Column) -> DataFrame:
@@ -148,8 +154,8 @@ def joint_entropies(binned: DataFrame, size: int, points: int | Column) -> DataF
     for k in range(2, size + 1):
         other = binned.select(F.col("id").alias(f"s{k}"), "t", F.col("bin").alias(f"b{k}"))
         out = out.join(other, "t").where(F.col(f"s{k - 1}") < F.col(f"s{k}"))
-    ids, bins, p = [f"s{k}" for k in range(1, size + 1)], [f"b{k}" for k in range(1, size + 1)], F.col("n") / points
-    return out.groupBy(*ids, *bins).agg(F.count(F.lit(1)).alias("n")).groupBy(*ids).agg((-F.sum(p * F.log(p))).alias("h"))
+    ids, bins = [f"s{k}" for k in range(1, size + 1)], [f"b{k}" for k in range(1, size + 1)]
+    return out.groupBy(*ids, *bins).agg(F.count(F.lit(1)).alias("n")).groupBy(*ids).agg(entropy_of_counts(points))
 
 
 def mutual_information(binned: DataFrame, points: int | Column) -> DataFrame:

@@ -22,7 +22,7 @@ from covey.operators import clustering as C
 from covey.operators import measures as M
 from covey.operators.candidates import ordering, pack
 from covey.operators.lineage import cut
-from covey.operators.pairs import symmetric
+from covey.operators.pairs import entropy_of_counts, symmetric
 from covey.spec import Measure, QuerySpec
 
 
@@ -124,11 +124,11 @@ def pattern(pairs: DataFrame, steps: DataFrame, deepest: int, spec: QuerySpec, l
 
 def joint_entropies_of(binned: DataFrame, sets: DataFrame, size: int, points: int) -> DataFrame:
     """(s1..sp, h) of the listed sets alone."""
-    ids, p = [f"s{k}" for k in range(1, size + 1)], F.col("n") / points
+    ids = [f"s{k}" for k in range(1, size + 1)]
     out = sets.join(binned.select(F.col("id").alias("s1"), "t", F.col("bin").alias("b1")), "s1")
     for k in range(2, size + 1):
         out = out.join(binned.select(F.col("id").alias(f"s{k}"), "t", F.col("bin").alias(f"b{k}")), [f"s{k}", "t"])
-    return out.groupBy(*ids, *[f"b{k}" for k in range(1, size + 1)]).agg(F.count(F.lit(1)).alias("n")).groupBy(*ids).agg((-F.sum(p * F.log(p))).alias("h"))
+    return out.groupBy(*ids, *[f"b{k}" for k in range(1, size + 1)]).agg(F.count(F.lit(1)).alias("n")).groupBy(*ids).agg(entropy_of_counts(points))
 
 
 def entropy_sets(vectors: DataFrame, one: DataFrame, two: DataFrame, size: int, least: float) -> DataFrame:

@@ -20,6 +20,7 @@ from covey.spec import Measure, QuerySpec, QueryType, Strategy
 
 TILED_FROM = 300  # series from which joins of three are more work than tiles
 SEED_FROM = 20_000  # pairs from which a bound of the k best is worth a pass of its own
+TIED = 12  # digits to which total correlations are told apart: equal ones differ by the rounding of their logarithms
 
 
 def prepared(series: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -109,6 +110,7 @@ def run_on_pairs(pairs: DataFrame, spec: QuerySpec, length_squared: float = 1.0)
 def total_correlation(series: DataFrame, spec: QuerySpec) -> DataFrame:
     """Sum of entropies less joint entropy, for each size of the climb; subsets come from the smaller sizes' tables.
 
+    Sets whose counts give the same value are tied exactly, and a top-k query takes them in the order of their ids.
     Pruned: joint entropies of the full size only of sets that cluster bounds let pass.
     """
     series = S.variance_filter(series)
@@ -126,7 +128,7 @@ def total_correlation(series: DataFrame, spec: QuerySpec) -> DataFrame:
         for k in range(1, size + 1):
             t = t.join(one.select(F.col("id").alias(f"s{k}"), F.col("h").alias(f"h{k}")), f"s{k}")
             total = F.col(f"h{k}") if total is None else total + F.col(f"h{k}")
-        tables[size] = t.select(*[f"s{k}" for k in range(1, size + 1)], (total - F.col("h")).alias("sim"))
+        tables[size] = t.select(*[f"s{k}" for k in range(1, size + 1)], F.round(total - F.col("h"), TIED).alias("sim"))
     out = []
     for size, _ in spec.patterns():
         t, subs = tables[size], []
