@@ -14,6 +14,7 @@ NAMES = [
     "climb_1_2",
     "pc_1_2_irreducible",
     "pc_1_2_sum_weights",
+    "tiled_pc_1_2",
 ]
 
 
