@@ -15,6 +15,7 @@ NAMES = [
     "pc_1_2_irreducible",
     "pc_1_2_sum_weights",
     "tiled_pc_1_2",
+    "pc_1_2",
 ]
 
 
