@@ -16,6 +16,7 @@ NAMES = [
     "pc_1_2_sum_weights",
     "tiled_pc_1_2",
     "pc_1_2",
+    "pc_1_2_minjump",
 ]
 
 
